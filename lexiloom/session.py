@@ -49,3 +49,14 @@ def spread(df: DataFrame) -> DataFrame:
 
 def default_tokenizers() -> str:
     return os.environ.get("LEXILOOM_TOKENIZERS", "/opt/tokenizers")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows as a parquet table in the checkpoint folder: lineage cut, columns prunable on every later read."""
+    import uuid
+
+    spark = df.sparkSession
+    use_checkpoints(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
