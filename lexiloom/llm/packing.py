@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.session import cores, cut
+
 #: Items packed together, on average.
 GROUP_ITEMS = 5000
 #: Most container kinds; they are a parameter table, sent to every task.
@@ -85,8 +87,6 @@ def packed(counts: DataFrame, limits: DataFrame, group_items: int = GROUP_ITEMS)
     if len(kinds) > MAX_LIMITS:
         raise ValueError(f"more than {MAX_LIMITS} container kinds")
     kinds = sorted((r["limit_name"], int(r["capacity"])) for r in kinds)
-    from lexiloom.session import cut
-
     items = cut(counts.groupBy("doc_id").agg(F.max("tokens").alias("tokens")))
     groups = max(1, -(-items.count() // group_items))
     schema = "limit_name string, container string, doc_id long, piece int, start_token long, end_token long"
@@ -103,7 +103,8 @@ def packed(counts: DataFrame, limits: DataFrame, group_items: int = GROUP_ITEMS)
         columns = list(zip(*out)) if out else [[] for _ in kinds_of]
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds_of)], names=["limit_name", "container", "doc_id", "piece", "start_token", "end_token"])
 
-    return items.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups))).groupBy("g").applyInArrow(run, schema)
+    grouped = items.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
+    return grouped.repartition(min(groups, 4 * cores(spark)), "g").groupBy("g").applyInArrow(run, schema)
 
 
 def fill(rows: DataFrame, limits: DataFrame) -> DataFrame:

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import encoding, linking, packing, repetition
+from lexiloom.llm import encoding, linking, nearcopies, packing, repetition
 from lexiloom.session import table
 
 
+def p3_found(spark, d):
+    return nearcopies.near_pairs(table(spark, d, "documents"))
+
+
+def p3_groups(spark, d):
+    return nearcopies.near_groups(table(spark, d, "documents"))
+
+
 def p5_found(spark, d):
     return repetition.repetitive(table(spark, d, "documents"))
 
@@ -32,7 +40,7 @@ def p8_fill(spark, d):
 
 
 def queries():
-    return {f.__name__: f for f in (p5_found, p5_repetition, p6_found, p7_ids, p8_packed, p8_fill)}
+    return {f.__name__: f for f in (p3_found, p3_groups, p5_found, p5_repetition, p6_found, p7_ids, p8_packed, p8_fill)}
 
 
 def oracle_sql():
