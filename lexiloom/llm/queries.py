@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import encoding, linking, nearcopies, packing, repetition
+from lexiloom.llm import encoding, linking, nearcopies, packing, repetition, spans
 from lexiloom.session import table
 
 
@@ -14,6 +14,14 @@ def p3_groups(spark, d):
     return nearcopies.near_groups(table(spark, d, "documents"))
 
 
+def p4_found(spark, d):
+    return spans.shared_runs(table(spark, d, "documents"))
+
+
+def p4_share(spark, d):
+    return spans.shared_share(table(spark, d, "documents"))
+
+
 def p5_found(spark, d):
     return repetition.repetitive(table(spark, d, "documents"))
 
@@ -40,7 +48,7 @@ def p8_fill(spark, d):
 
 
 def queries():
-    return {f.__name__: f for f in (p3_found, p3_groups, p5_found, p5_repetition, p6_found, p7_ids, p8_packed, p8_fill)}
+    return {f.__name__: f for f in (p3_found, p3_groups, p4_found, p4_share, p5_found, p5_repetition, p6_found, p7_ids, p8_packed, p8_fill)}
 
 
 def oracle_sql():
