@@ -25,7 +25,7 @@ from lexiloom.session import cut
 MIN_PCT = 60
 #: Reductions go on while one removes at least this share of the edges, up to MAX_REDUCTIONS; the core solver takes the rest.
 WORTHWHILE = 0.1
-MAX_REDUCTIONS = 4
+MAX_REDUCTIONS = 2
 
 
 def links(pairs: DataFrame, min_pct: int = MIN_PCT) -> DataFrame:
@@ -57,10 +57,9 @@ def _compress(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     both = _both(edges)
     two = both.groupBy("u").agg(F.count("*").alias("d"), F.min("v").alias("lo"), F.max("v").alias("hi")).filter("d = 2").select(F.col("u").alias("m"), "lo", "hi")
     # half-edge (s, t): from s towards t. While t has degree two, the next half-edge is (t, its other neighbour).
-    inner = cut(two)
-    half = both.join(inner.select("m", "lo", "hi"), both["v"] == inner["m"], "left").select(
-        "u", "v", F.when(F.col("m").isNull(), None).when(F.col("lo") == F.col("u"), F.col("hi")).otherwise(F.col("lo")).alias("w"))
-    starts = half.join(inner.select(F.col("m").alias("u")), "u", "left_semi")
+    half = both.join(two.withColumnRenamed("m", "v"), "v", "left").select(
+        "u", "v", F.when(F.col("lo").isNull(), None).when(F.col("lo") == F.col("u"), F.col("hi")).otherwise(F.col("lo")).alias("w"))
+    starts = half.join(two.select(F.col("m").alias("u")), "u", "left_semi")
     # of a chain vertex u towards v: hop (hu, hv) is the half-edge reached so far; done when its target isn't a chain vertex
     state = cut(starts.select("u", "v", F.coalesce(F.when(F.col("w").isNotNull(), F.col("v")), F.col("u")).alias("hu"), F.coalesce("w", "v").alias("hv"), F.col("w").isNull().alias("done")))
     left = state.filter("not done").count()
@@ -91,7 +90,6 @@ def _solve(edges: DataFrame) -> DataFrame:
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         # large star: every larger neighbour is linked to the smallest one
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("b"), F.col("m").alias("a")).filter("a < b").distinct()
-        large = cut(large)
         # small star: u and its smaller neighbours are linked to the smallest of them
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b").select(F.explode(F.array(F.struct(F.col("a").alias("b"), F.col("m").alias("a")), F.struct("b", F.col("m").alias("a")))).alias("e")).select("e.a", "e.b").filter("a < b").distinct()
@@ -113,7 +111,7 @@ def components(edges: DataFrame) -> DataFrame:
         hung, rest = _strip(rest)
         chained, rest = _compress(rest)
         rest = cut(rest)
-        removed += [cut(hung), chained]
+        removed += [hung, chained]
         now = rest.count()
         worth = size - now >= WORTHWHILE * size
         size = now
