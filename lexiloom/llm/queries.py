@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import encoding, linking, nearcopies, packing, repetition, spans
+from lexiloom.llm import encoding, linking, nearcopies, packing, repetition, sentences, spans
 from lexiloom.session import table
 
 
+def p1_found(spark, d):
+    return sentences.scoped_units(table(spark, d, "documents"), table(spark, d, "sentence_scope"))
+
+
+def p1_units(spark, d):
+    return sentences.sentence_units(table(spark, d, "documents"))
+
+
 def p3_found(spark, d):
     return nearcopies.near_pairs(table(spark, d, "documents"))
 
@@ -48,7 +56,7 @@ def p8_fill(spark, d):
 
 
 def queries():
-    return {f.__name__: f for f in (p3_found, p3_groups, p4_found, p4_share, p5_found, p5_repetition, p6_found, p7_ids, p8_packed, p8_fill)}
+    return {f.__name__: f for f in (p1_found, p1_units, p3_found, p3_groups, p4_found, p4_share, p5_found, p5_repetition, p6_found, p7_ids, p8_packed, p8_fill)}
 
 
 def oracle_sql():
