@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import encoding, linking, nearcopies, packing, repetition, sentences, spans
+from lexiloom.llm import encoding, linking, nearcopies, packing, quality, repetition, sentences, spam, spans
 from lexiloom.session import table
 
 
@@ -14,6 +14,14 @@ def p1_units(spark, d):
     return sentences.sentence_units(table(spark, d, "documents"))
 
 
+def p2_found(spark, d):
+    return quality.not_prose(table(spark, d, "documents"), table(spark, d, "common_words"))
+
+
+def p2_stats(spark, d):
+    return quality.make_up(table(spark, d, "documents"), table(spark, d, "common_words"))
+
+
 def p3_found(spark, d):
     return nearcopies.near_pairs(table(spark, d, "documents"))
 
@@ -55,8 +63,16 @@ def p8_fill(spark, d):
     return packing.fill(p8_packed(spark, d), limits)
 
 
+def p9_found(spark, d):
+    return spam.spam_pages(table(spark, d, "documents"), table(spark, d, "common_words"))
+
+
+def p9_distances(spark, d):
+    return spam.judged(table(spark, d, "documents"), table(spark, d, "common_words"))
+
+
 def queries():
-    return {f.__name__: f for f in (p1_found, p1_units, p3_found, p3_groups, p4_found, p4_share, p5_found, p5_repetition, p6_found, p7_ids, p8_packed, p8_fill)}
+    return {f.__name__: f for f in (p1_found, p1_units, p2_found, p2_stats, p3_found, p3_groups, p4_found, p4_share, p5_found, p5_repetition, p6_found, p7_ids, p8_packed, p8_fill, p9_found, p9_distances)}
 
 
 def oracle_sql():
