@@ -9,6 +9,7 @@ from collections import Counter
 
 import unicodedata
 from functools import lru_cache
+from math import log2, log10
 
 import numpy as np
 import regex
@@ -23,6 +24,7 @@ NAMES = (
 AT = {n: i for i, n in enumerate(NAMES)}
 
 _URL = regex.compile(r"(?:https?://|www\.)\S+|\b[\p{L}\d-]+(?:\.[\p{L}\d-]+)*\.\p{L}{2,}/\S+|\b[\w.-]+@[\w-]+\.\w{2,}")
+_HOST = regex.compile(r"\.\p{L}{2,}/")
 _MARKDOWN_LINK = regex.compile(r"\[[^\]\n]*\]\([^)\s]+\)")
 _CELL_TAG = regex.compile(r"</?t[rdh]\b", regex.I)
 _TAG = regex.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>|&(?:\w+|#\d+);")
@@ -33,7 +35,7 @@ _BULLET = regex.compile(r"^(?:[-*•·▪◦‣+–]|\d{1,3}[.)]|\(?\p{L}[.)]|\(
 _CODE = regex.compile(r"\b[A-Z]{2,6}-?\d{3,}\b")
 _SEPARATOR = regex.compile(r"\t|\||;|\",\"|·|,|/|>|•|#")
 _NUMERIC = regex.compile(r"^[\s\"']*(?:[-+]?[\d.,]+\s?%?|n/a|-|—)?[\s\"']*$", regex.I)
-_END = regex.compile(r"[.!?。！？।؟…:][\"”»“)\]'’」』）\xa0]*$")
+_MARKS, _CLOSERS = frozenset(".!?。！？।؟…:"), "\"”»“)]'’」』） \xa0"
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:['’-][\p{L}\p{M}\p{N}]+)*")
 _ITEM = regex.compile(r" [-–—] |[\n\r,;|·/•>#.!?:。！？।؟；،؛，、\t]+")
 _UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]")
@@ -73,9 +75,9 @@ class Lexicon:
 
     def best(self, lower: str, words: Counter, total: int) -> tuple[str, float]:
         """The language with the largest share of frequent words, and that share."""
-        share = {lang: sum(words[w] for w in own) / total for lang, own in self.spaced.items()} if total else {}
-        letters = len(_UNSPACED.findall(lower))
-        if letters > 0.3 * max(1, sum(map(len, words)) and sum(len(w) * n for w, n in words.items())):
+        share = {lang: sum([words[w] for w in own & words.keys()]) / total for lang, own in self.spaced.items()} if total else {}
+        letters = 0 if lower.isascii() or not _UNSPACED.search(lower) else len(_UNSPACED.findall(lower))
+        if letters and letters > 0.3 * max(1, sum([len(w) * n for w, n in words.items()])):
             share |= {lang: 2 * sum(len(m) for m in p.findall(lower)) / letters for lang, p in self.unspaced.items()}
         lang = max(sorted(share), key=lambda k: share[k]) if share else ""
         return (lang, share[lang]) if share.get(lang) else ("", 0.0)
@@ -96,18 +98,31 @@ _LETTER, _DIGIT, _UPPER, _BLANK, _BROKEN, _OTHER = 1, 2, 4, 8, 16, 32
 
 @lru_cache(maxsize=1)
 def _bits() -> np.ndarray:
+    kinds = np.array([unicodedata.category(chr(c)) for c in range(0x110000)])
+    blank = np.zeros(0x110000, dtype=bool)
+    blank[[c for c in range(0x3001) if chr(c).isspace()]] = True
+    major = kinds.astype("U1")
     table = np.zeros(0x110000, dtype=np.uint8)
-    for c in range(0x110000):
-        if 0xD800 <= c < 0xE000:
-            continue
-        ch = chr(c)
-        k = unicodedata.category(ch)
-        table[c] = (_LETTER if k[0] in "LM" else 0) | (_DIGIT if k[0] == "N" else 0) | (_UPPER if k == "Lu" else 0) | (_BLANK if ch.isspace() else 0) | (_OTHER if k[0] in "PSC" and not ch.isspace() else 0)
+    table[np.isin(major, ["L", "M"])] |= _LETTER
+    table[major == "N"] |= _DIGIT
+    table[kinds == "Lu"] |= _UPPER
+    table[blank] |= _BLANK
+    table[np.isin(major, ["P", "S", "C"]) & ~blank] |= _OTHER
     for ranges in ((0x80, 0xA0), (0x00, 0x09), (0x0E, 0x20), (0xE000, 0xF900), (0xFFFD, 0xFFFE)):
         table[slice(*ranges)] |= _BROKEN
     return table
 
 
+def _ends(line: str) -> bool:
+    """Whether a line ends with a mark, before any closing signs."""
+    return line.rstrip(_CLOSERS)[-1:] in _MARKS if line else False
+
+
+def _spaced_words(text: str) -> int:
+    """word_count of a text without letters of scripts without spaces."""
+    return text.count(" ") + 1
+
+
 def word_count(text: str) -> float:
     """Words, counting 1.7 letters of Chinese or Japanese and 4.5 of Thai as one."""
     if text.isascii() or not (unspaced := _UNSPACED.findall(text)):
@@ -116,7 +131,7 @@ def word_count(text: str) -> float:
     return thai / 4.5 + (len(unspaced) - thai) / 1.7 + len([w for w in _WORD.findall(text) if not _UNSPACED.search(w)])
 
 
-def _kinds(lines: list[str], letters: list[int], broken: list[int]) -> list[str]:
+def _kinds(lines: list[str], letters: list[int], broken: list[int], words_of=word_count) -> list[str]:
     """The kind of each line by its own form and its neighbours'."""
     n = len(lines)
     separators = []
@@ -131,7 +146,7 @@ def _kinds(lines: list[str], letters: list[int], broken: list[int]) -> list[str]
     kinds = [""] * n
     for i, line in enumerate(lines):
         size = len(line)
-        urls = sum(len(u) for u in _URL.findall(line)) if "/" in line or "www." in line or "@" in line else 0
+        urls = sum(map(len, _URL.findall(line))) if "://" in line or "www." in line or "@" in line or "/" in line and _HOST.search(line) else 0
         if (urls and urls >= 0.25 * size) or ("](" in line and sum(map(len, _MARKDOWN_LINK.findall(line))) >= 0.5 * size):
             kinds[i] = "link"
             continue
@@ -146,7 +161,7 @@ def _kinds(lines: list[str], letters: list[int], broken: list[int]) -> list[str]
         if strange >= max(2, 0.05 * size):
             kinds[i] = "damaged"
             continue
-        long = sum(map(len, _LONG.findall(line))) if size >= 28 else 0
+        long = sum(map(len, _LONG.findall(line))) if size >= 28 and 10 * line.count(" ") < size else 0
         brackets = "{" in line or "[" in line or '"' in line
         if long >= 0.5 * size or brackets and _DATA.match(line) or size - letters[i] > 0.5 * size and not line[:1].isdigit() and not separators[i][0] and not _LEADER.search(line):
             kinds[i] = "data"
@@ -156,9 +171,9 @@ def _kinds(lines: list[str], letters: list[int], broken: list[int]) -> list[str]
             kinds[i] = "product"
         elif not letters[i] and set(line) <= set("|-+=: _*"):
             kinds[i] = "table"
-        elif _REFERENCE.match(line) and word_count(line) <= 40:
+        elif _REFERENCE.match(line) and words_of(line) <= 40:
             kinds[i] = "list"
-        elif _BULLET.match(line) and (w := word_count(line)) <= (10 if _THAI.search(line) else 12) and not (w > 8 and _END.search(line)):
+        elif _BULLET.match(line) and (w := words_of(line)) <= (10 if _THAI.search(line) else 12) and not (w > 8 and _ends(line)):
             kinds[i] = "list"
     for i, line in enumerate(lines):
         k, s = separators[i]
@@ -167,12 +182,12 @@ def _kinds(lines: list[str], letters: list[int], broken: list[int]) -> list[str]
         near = [j for j in (i - 1, i + 1) if 0 <= j < n and separators[j][1] == s and abs(separators[j][0] - k) <= 1 and kinds[j] != "product"]
         cells = [c for j in (i, *near) for c in (_GAP.split(lines[j]) if s == "   " else lines[j].split(s))]
         numeric = sum(bool(_NUMERIC.match(c)) for c in cells) / len(cells)
-        short = np.mean([word_count(c) <= 6 for c in cells])
+        short = sum([words_of(c) <= 6 for c in cells]) / len(cells)
         if near and short > 0.8 and (numeric >= 0.2 or s in ("\t", '","', "   ")) or k >= 2 and numeric >= 0.5:
             kinds[i] = "table"
     # headers of tables
     for i in range(n):
-        if not kinds[i] and separators[i][0] >= 1 and any(0 <= j < n and kinds[j] == "table" and separators[j][1] == separators[i][1] for j in (i + 1, i + 2)) and not _END.search(lines[i]):
+        if not kinds[i] and separators[i][0] >= 1 and any(0 <= j < n and kinds[j] == "table" and separators[j][1] == separators[i][1] for j in (i + 1, i + 2)) and not _ends(lines[i]):
             kinds[i] = "table"
     return kinds
 
@@ -202,6 +217,10 @@ def _passages(items: list[tuple[str, float]], count: Counter) -> bool:
     return words >= PASSAGE_WORDS
 
 
+def _head(item: str) -> str:
+    return " ".join(item.lower().split(None, 2)[:2])
+
+
 def _repeats_words(line: str) -> bool:
     """Whether a line without marks consists of a few phrases in ever other order."""
     words = line.lower().split()
@@ -214,7 +233,7 @@ def _repeats_words(line: str) -> bool:
 def statistics(text: str | None, lexicon: Lexicon) -> tuple[np.ndarray, str]:
     """The vector of NAMES and the best language of a text; zeros for null or blank texts."""
     out = np.zeros(len(NAMES))
-    lines = [x for x in (p.strip() for p in regex.split(r"[\n\r\x0b\x0c\x85  ]+", text or "")) if x]
+    lines = [x for x in map(str.strip, (text or "").splitlines()) if x]
     if not lines:
         return out, ""
     total = sum(map(len, lines))
@@ -227,50 +246,52 @@ def statistics(text: str | None, lexicon: Lexicon) -> tuple[np.ndarray, str]:
     begins = np.cumsum([0, *(len(x) + 1 for x in lines[:-1])])
     letters = np.add.reduceat((bits & (_LETTER | _BLANK) > 0).astype(np.int64), begins).tolist()
     broken = np.add.reduceat((bits & _BROKEN > 0).astype(np.int64), begins).tolist()
-    kinds = _kinds(lines, letters, broken)
+    words_of = _spaced_words if whole.isascii() or not _UNSPACED.search(whole) else word_count
+    kinds = _kinds(lines, letters, broken, words_of)
     size: Counter = Counter()
     ended = 0
     plain: list[tuple[int, str]] = []
     for i, (line, kind) in enumerate(zip(lines, kinds)):
-        if _END.search(line):
+        if _ends(line):
             ended += len(line)
         if kind:
             size[kind] += len(line)
         else:
             plain.append((i, line))
     # items of the lines without a form of their own
-    items = [(x, word_count(x)) for _, line in plain for x in _items(line)]
-    count = Counter(x.lower() for x, _ in items)
-    heads = Counter(" ".join(x.lower().split()[:2]) for x, _ in items if " " in x)
-    passages = _passages(items, count)
+    own_items = [[(x, words_of(x)) for x in _items(line)] for _, line in plain]
+    items = [x for own in own_items for x in own]
+    count = Counter([x.lower() for x, _ in items])
+    heads = Counter([_head(x) for x, _ in items if " " in x])
+    repeating = any([n >= REPEATS for n in count.values()])
+    passages = repeating and _passages(items, count)
     # one beginning with ever other endings (a place or product name)
     most = max(heads.values(), default=0)
     variants = len(items) >= 8 and most >= 0.5 * len(items) and len(count) >= 0.7 * len(items)
     limit, usual = (PHRASE_WORDS + 4, PHRASE_WORDS + 3) if variants else (PHRASE_WORDS + 1, PHRASE_WORDS)
     repeated = 0 if passages else sum(len(x) + 1 for x, w in items if w <= PHRASE_WORDS + 1 and count[x.lower()] >= REPEATS)
     run, before, held = 0, -2, []
-    for i, line in plain:
-        w = word_count(line)
-        own = _items(line)
-        sizes = [word_count(x) for x in own]
-        phrases = sum(len(x) + 1 for x, s in zip(own, sizes) if s <= PHRASE_WORDS + 1)
-        again = sum(len(x) + 1 for x, s in zip(own, sizes) if s <= limit and (count[x.lower()] >= REPEATS or heads[" ".join(x.lower().split()[:2])] >= REPEATS + 1))
-        mean = float(np.mean(sizes)) if sizes else 0.0
+    for (i, line), own in zip(plain, own_items):
+        w = words_of(line)
+        sizes = [s for _, s in own]
+        phrases = sum([len(x) + 1 for x, s in own if s <= PHRASE_WORDS + 1])
+        again = sum([len(x) + 1 for x, s in own if s <= limit and (count[x.lower()] >= REPEATS or heads[_head(x)] >= REPEATS + 1)]) if most > REPEATS or repeating else 0
+        mean = sum(sizes) / len(sizes) if sizes else 0.0
         if again >= 0.6 * len(line) and mean <= usual and not passages:
             kind = "keywords"
         elif w >= 20 and max(sizes) >= 0.8 * w and _repeats_words(line):
             kind = "keywords"
-        elif len(own) >= 5 and mean <= 3.5 and phrases >= 0.8 * len(line) and (not _END.search(line) or _LABEL.match(line)) or len(own) >= 4 and _LABEL.match(line) and mean <= 3.5:
+        elif len(own) >= 5 and mean <= 3.5 and phrases >= 0.8 * len(line) and (not _ends(line) or _LABEL.match(line)) or len(own) >= 4 and _LABEL.match(line) and mean <= 3.5:
             kind = "tags"
-        elif w <= 6 and not _END.search(line) and len(line) < 60:
+        elif w <= 6 and not _ends(line) and len(line) < 60:
             kind = "heading"
-        elif w >= 6 and best < 0.08 and not _END.search(line) and lexicon.share(lang, line) < 0.04:
+        elif w >= 6 and best < 0.08 and not _ends(line) and lexicon.share(lang, line) < 0.04:
             kind = "salad"
         else:
             kind = "prose"
         size[kind] += len(line)
         # a run of short lines without a mark: a tag each
-        if kind in ("heading", "keywords") and w <= 5 and not _END.search(line):
+        if kind in ("heading", "keywords") and w <= 5 and not _ends(line):
             run, held = (run + 1, held + [(kind, len(line))]) if i == before + 1 else (1, [(kind, len(line))])
             before = i
             if run >= TAG_RUN:
@@ -280,14 +301,16 @@ def statistics(text: str | None, lexicon: Lexicon) -> tuple[np.ndarray, str]:
                         size["tags"] += n
     share = lambda b: float(np.count_nonzero(bits & b)) / total
     pairs = Counter(zip(tokens, tokens[1:]))
-    p = np.array(list(words.values()), dtype=float) / max(1, len(tokens))
+    n_tokens = max(1, len(tokens))
+    entropy = log2(n_tokens) - sum([n * log2(n) for n in words.values() if n > 1]) / n_tokens
+    weight = sum([len(x) for x, _ in items])
     values = {
-        "log_chars": np.log10(total), "words": word_count(whole), "mean_word": sum(map(len, tokens)) / max(1, len(tokens)),
+        "log_chars": log10(total), "words": words_of(whole), "mean_word": sum(map(len, tokens)) / max(1, len(tokens)),
         "symbols": share(_OTHER), "digits": share(_DIGIT), "upper": share(_UPPER) / max(1e-9, share(_LETTER)),
         "ended": ended / total, "common": best, "type_ratio": len(words) / max(1, len(tokens)),
-        "entropy": float(-(p * np.log2(p)).sum() / np.log2(len(words))) if len(words) > 1 else 0.0, "top_pair": sum(n for _, n in pairs.most_common(3)) / max(1, len(tokens)),
-        "mean_line": np.log10(total / len(lines)), "item_words": float(np.average([w for _, w in items], weights=[len(x) for x, _ in items])) if items else 0.0,
-        "repeated_items": repeated / total, "longest_token": np.log10(max((len(x) for x in whole.split()), default=1)), "spaces": whole.count(" ") / total,
+        "entropy": entropy / log2(len(words)) if len(words) > 1 else 0.0, "top_pair": sum(sorted(pairs.values())[-3:]) / max(1, len(tokens)),
+        "mean_line": log10(total / len(lines)), "item_words": sum([w * len(x) for x, w in items]) / weight if items else 0.0,
+        "repeated_items": repeated / total, "longest_token": log10(max(map(len, whole.split()), default=1)), "spaces": whole.count(" ") / total,
     }
     for name, v in values.items():
         out[AT[name]] = v
