@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,12 @@ from lexiloom.functions import lexicon
 SPACE = r"[\t\n\x0B\f\r    -     　﻿]"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often `use` names it, also inside lambdas: those would otherwise compute
+    an inlined expression for every element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def text_of(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
@@ -82,10 +90,14 @@ def is_boilerplate(s: Column) -> Column:
     return out
 
 
+def _places(last: Column, step: int = 1) -> Column:
+    """1, 1 + step, ... up to `last`; none if last is below 1."""
+    return F.when(last >= 1, F.sequence(F.lit(1), last, F.lit(step))).otherwise(F.array().cast("array<int>"))
+
+
 def word_grams(tokens: Column, n: int) -> Column:
     """All runs of n tokens, joined by blanks."""
-    at = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+    return let(tokens, lambda t: F.transform(_places(F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, n), " ")))
 
 
 def fingerprint_text(c: Column | str) -> Column:
@@ -98,37 +110,33 @@ def spaced_text(c: Column | str) -> Column:
 
 
 def char_grams(s: Column, n: int) -> Column:
-    at = F.when(F.length(s) >= n, F.sequence(F.lit(1), F.length(s) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.substring(s, i, F.lit(n)))
+    return let(s, lambda t: F.transform(_places(F.length(t) - (n - 1)), lambda i: F.substring(t, i, F.lit(n))))
 
 
 def chunks(sentences: Column, size: int = 4, stride: int = 2) -> Column:
     """Runs of `size` sentences every `stride`, joined by blanks; no later chunk of fewer than two sentences."""
-    n = F.size(sentences)
-    at = F.when(n >= 1, F.sequence(F.lit(1), n, F.lit(stride))).otherwise(F.array().cast("array<int>"))
-    return F.transform(F.filter(at, lambda i: (i == 1) | (n - i >= 1)), lambda i: F.array_join(F.slice(sentences, i, size), " "))
+    return let(sentences, lambda s: F.transform(F.filter(_places(F.size(s), stride), lambda i: (i == 1) | (F.size(s) - i >= 1)), lambda i: F.array_join(F.slice(s, i, size), " ")))
 
 
 def lexical_chunks(c: Column | str, size: int = 4, stride: int = 2) -> Column:
     """Chunks of the sentences that are no boilerplate; the whole text if there are none."""
     kept = F.filter(sentences_lexical(c), lambda s: ~is_boilerplate(s))
-    return F.when(F.size(kept) == 0, F.array(text_of(c))).otherwise(chunks(kept, size, stride))
+    return let(kept, lambda k: F.when(F.size(k) == 0, F.array(text_of(c))).otherwise(chunks(k, size, stride)))
 
 
 def style_chunks(sentences: Column, size: int = 4, stride: int = 2) -> Column:
     """As chunks, but a chunk of one sentence ends the list even at its beginning."""
-    n = F.size(sentences)
-    at = F.when(n >= 2, F.sequence(F.lit(1), n - 1, F.lit(stride))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.array_join(F.slice(sentences, i, size), " "))
+    return let(sentences, lambda s: F.transform(_places(F.size(s) - 1, stride), lambda i: F.array_join(F.slice(s, i, size), " ")))
 
 
 def counts(tokens: Column) -> Column:
     """How often each distinct token occurs, by sorting: no exchange and no map."""
-    ordered = F.array_sort(tokens)
-    n = F.size(ordered)
-    at = F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    heads = F.filter(at, lambda i: (i == 1) | (F.element_at(ordered, i) != F.element_at(ordered, F.greatest(i - 1, F.lit(1)))))
-    return F.transform(heads, lambda h, k: F.coalesce(F.get(heads, k + 1), n + 1) - h)
+
+    def of(ordered: Column) -> Column:
+        heads = F.filter(_places(F.size(ordered)), lambda i: (i == 1) | (F.get(ordered, i - 1) != F.get(ordered, i - 2)))
+        return let(heads, lambda h: F.transform(h, lambda x, k: F.coalesce(F.get(h, k + 1), F.size(ordered) + 1) - x))
+
+    return let(F.array_sort(tokens), of)
 
 
 def total(a: Column) -> Column:
@@ -137,4 +145,4 @@ def total(a: Column) -> Column:
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0."""
-    return F.when(b == 0, F.lit(0.0)).otherwise(a.cast("double") / F.when(b == 0, F.lit(1)).otherwise(b))
+    return let(b, lambda y: F.when(y == 0, F.lit(0.0)).otherwise(a.cast("double") / F.when(y == 0, F.lit(1)).otherwise(y)))

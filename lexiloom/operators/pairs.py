@@ -19,7 +19,7 @@ def checks(single_checks: DataFrame) -> DataFrame:
 
 def containment(a: Column, b: Column) -> Column:
     """Share of a's distinct grams that are in b; 0 if a has none."""
-    return T.ratio(F.size(F.array_intersect(a, b)), F.size(F.array_distinct(a)))
+    return T.let(F.array_distinct(a), lambda x: T.ratio(F.size(F.array_intersect(x, b)), F.size(x)))
 
 
 def grams(pairs: DataFrame) -> DataFrame:

@@ -12,8 +12,7 @@ from lexiloom.operators.pairs import checks
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of the distinct elements; 0 if both are empty."""
-    a, b = F.array_distinct(a), F.array_distinct(b)
-    return T.ratio(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b)))
+    return T.let(F.array_distinct(a), lambda x: T.let(F.array_distinct(b), lambda y: T.ratio(F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y)))))
 
 
 def char_jaccard(n: int) -> Column:

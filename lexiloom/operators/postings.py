@@ -21,8 +21,8 @@ K1, B = 1.5, 0.75
 
 def term_frequency(documents: DataFrame) -> DataFrame:
     """doc_id, term, cnt, tf of every content token; documents without any have no row."""
-    t = T.tokens_content("text")
-    each = documents.select("doc_id", F.explode(t).alias("term"), F.size(t).alias("n"))
+    with_size = T.let(T.tokens_content("text"), lambda t: F.transform(t, lambda x: F.struct(x.alias("term"), F.size(t).alias("n"))))
+    each = documents.select("doc_id", F.explode(with_size).alias("e")).select("doc_id", "e.*")
     return each.groupBy("doc_id", "term").agg(F.count("*").alias("cnt"), F.first("n").alias("n")).select("doc_id", "term", "cnt", (F.col("cnt") / F.col("n")).alias("tf"))
 
 

@@ -23,8 +23,7 @@ def _mean(a: Column) -> Column:
 
 def _variance(a: Column) -> Column:
     """Population variance."""
-    m = _mean(a)
-    return T.total(F.transform(a, lambda x: (x - m) * (x - m))) / F.size(a)
+    return T.let(_mean(a), lambda m: T.total(F.transform(a, lambda x: (x - m) * (x - m))) / F.size(a))
 
 
 def _count_words(s: Column) -> Column:
@@ -50,8 +49,7 @@ def signals(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFr
     base = base.select("*", F.transform("sent", _count_words).alias("len"), T.counts(F.col("tok")).alias("cnt"), F.transform("tok", lambda x: F.length(x)).alias("wl"), F.transform("sent", lambda s: F.lower(F.get(F.split(s, f"{T.SPACE}+"), 0))).alias("starters"))
     n, ns = F.size("tok"), F.size("sent")
     nd = n.cast("double")
-    p = F.transform("cnt", lambda c: c / nd)
-    entropy = -T.total(F.transform(p, lambda x: x * F.log2(x)))
+    entropy = -T.total(F.transform("cnt", lambda c: c / nd * F.log2(c / nd)))
     top10 = F.aggregate(F.slice(F.reverse(F.array_sort("cnt")), 1, 10), F.lit(0).cast("bigint"), lambda a, b: a + b) / nd
     cv = F.sqrt(_variance(F.col("len"))) / _mean(F.col("len"))
     fog = 0.4 * (nd / ns + 100 * (F.size(F.filter("wl", lambda x: x > 7)) / nd))
