@@ -5,9 +5,10 @@ All shares are shares of the text's characters without the white space around li
 
 from __future__ import annotations
 
-from collections import Counter
 
+import re
 import unicodedata
+from collections import Counter
 from functools import lru_cache
 from math import log2, log10
 
@@ -37,6 +38,7 @@ _SEPARATOR = regex.compile(r"\t|\||;|\",\"|·|,|/|>|•|#")
 _NUMERIC = regex.compile(r"^[\s\"']*(?:[-+]?[\d.,]+\s?%?|n/a|-|—)?[\s\"']*$", regex.I)
 _MARKS, _CLOSERS = frozenset(".!?。！？।؟…:"), "\"”»“)]'’」』） \xa0"
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:['’-][\p{L}\p{M}\p{N}]+)*")
+_PLAIN_WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 _ITEM = regex.compile(r" [-–—] |[\n\r,;|·/•>#.!?:。！？।؟；،؛，、\t]+")
 _UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]")
 _THAI = regex.compile(r"\p{Thai}")
@@ -93,7 +95,7 @@ class Lexicon:
 
 
 #: Bits of the kinds of a code point.
-_LETTER, _DIGIT, _UPPER, _BLANK, _BROKEN, _OTHER = 1, 2, 4, 8, 16, 32
+_LETTER, _DIGIT, _UPPER, _BLANK, _BROKEN, _OTHER, _JOINED = 1, 2, 4, 8, 16, 32, 64
 
 
 @lru_cache(maxsize=1)
@@ -104,6 +106,7 @@ def _bits() -> np.ndarray:
     major = kinds.astype("U1")
     table = np.zeros(0x110000, dtype=np.uint8)
     table[np.isin(major, ["L", "M"])] |= _LETTER
+    table[major == "M"] |= _JOINED
     table[major == "N"] |= _DIGIT
     table[kinds == "Lu"] |= _UPPER
     table[blank] |= _BLANK
@@ -239,10 +242,11 @@ def statistics(text: str | None, lexicon: Lexicon) -> tuple[np.ndarray, str]:
     total = sum(map(len, lines))
     whole = "\n".join(lines)
     lower = whole.lower()
-    tokens = _WORD.findall(lower)
+    bits = _bits()[code_points(whole)]
+    # the plain pattern is faster; it would cut words at combining marks
+    tokens = (_WORD if np.any(bits & _JOINED) else _PLAIN_WORD).findall(lower)
     words = Counter(tokens)
     lang, best = lexicon.best(lower, words, len(tokens))
-    bits = _bits()[code_points(whole)]
     begins = np.cumsum([0, *(len(x) + 1 for x in lines[:-1])])
     letters = np.add.reduceat((bits & (_LETTER | _BLANK) > 0).astype(np.int64), begins).tolist()
     broken = np.add.reduceat((bits & _BROKEN > 0).astype(np.int64), begins).tolist()
@@ -261,15 +265,16 @@ def statistics(text: str | None, lexicon: Lexicon) -> tuple[np.ndarray, str]:
     # items of the lines without a form of their own
     own_items = [[(x, words_of(x)) for x in _items(line)] for _, line in plain]
     items = [x for own in own_items for x in own]
-    count = Counter([x.lower() for x, _ in items])
-    heads = Counter([_head(x) for x, _ in items if " " in x])
+    lows = [x.lower() for x, _ in items]
+    count = Counter(lows)
+    heads = Counter([" ".join(x.split(None, 2)[:2]) for x in lows if " " in x]) if len(items) > REPEATS else Counter()
     repeating = any([n >= REPEATS for n in count.values()])
     passages = repeating and _passages(items, count)
     # one beginning with ever other endings (a place or product name)
     most = max(heads.values(), default=0)
     variants = len(items) >= 8 and most >= 0.5 * len(items) and len(count) >= 0.7 * len(items)
     limit, usual = (PHRASE_WORDS + 4, PHRASE_WORDS + 3) if variants else (PHRASE_WORDS + 1, PHRASE_WORDS)
-    repeated = 0 if passages else sum(len(x) + 1 for x, w in items if w <= PHRASE_WORDS + 1 and count[x.lower()] >= REPEATS)
+    repeated = sum([len(x) + 1 for (x, w), low in zip(items, lows) if w <= PHRASE_WORDS + 1 and count[low] >= REPEATS]) if repeating and not passages else 0
     run, before, held = 0, -2, []
     for (i, line), own in zip(plain, own_items):
         w = words_of(line)
