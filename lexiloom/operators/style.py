@@ -26,6 +26,11 @@ def _variance(a: Column) -> Column:
     return T.let(_mean(a), lambda m: T.total(F.transform(a, lambda x: (x - m) * (x - m))) / F.size(a))
 
 
+def _whole(name: str, power: int) -> Column:
+    """Sum of the powers of an array of integers, exactly."""
+    return F.aggregate(name, F.lit(0).cast("bigint"), lambda s, x: s + (x if power == 1 else x * x))
+
+
 def _count_words(s: Column) -> Column:
     return F.size(F.split(s, f"{T.SPACE}+"))
 
@@ -62,7 +67,7 @@ def signals(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFr
         F.when(n < 10, 0.5).when(F.size("cnt") <= 1, 0.0).otherwise(entropy / F.log2(F.size("cnt").cast("double"))).alias("entropy"),
         F.when(ns == 0, 0.0).otherwise(F.least(transition_count(F.col("text")) / ns, F.lit(2.0)) / 2).alias("transition"),
         F.when(empty, 0.0).otherwise(_mean(F.col("wl"))).alias("word_length"),
-        F.when(empty, 0.0).otherwise(_variance(F.col("wl"))).alias("word_length_var"),
+        F.when(empty, 0.0).otherwise((n * _whole("wl", 2) - _whole("wl", 1) * _whole("wl", 1)).cast("double") / (nd * nd)).alias("word_length_var"),
         F.when(empty, 0.0).otherwise(F.size(F.filter("wl", lambda x: x > 8)) / nd).alias("long_words"),
         F.when(ns < 4, 0.0).otherwise(F.array_max(T.counts(F.col("starters"))) / ns).alias("repetition"),
         F.when((ns == 0) | empty, 0.5).otherwise(F.least(F.abs(fog - 13) / 8, F.lit(1.0))).alias("fog"),
