@@ -60,7 +60,7 @@ def parse(name: str, content: bytes) -> tuple[str | None, str | None]:
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """name, ext, size, text, error of every file under a path or glob."""
+    """name, ext, size, text, error of every file under a path or glob. Files of no bytes have no row (the scan leaves them out)."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", "content")
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
