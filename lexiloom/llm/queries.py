@@ -75,5 +75,21 @@ def queries():
     return {f.__name__: f for f in (p1_found, p1_units, p2_found, p2_stats, p3_found, p3_groups, p4_found, p4_share, p5_found, p5_repetition, p6_found, p7_ids, p8_packed, p8_fill, p9_found, p9_distances)}
 
 
+_FORM = r"(select doc_id, regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]', '', 'g') as f from documents)"
+
+
 def oracle_sql():
-    return {}
+    """Brute force in SQL, where that ends in time on the small data."""
+    shingles = f"(select distinct doc_id, substr(f, i, 12) as g from (select doc_id, f, unnest(range(1, length(f) - 10)) as i from {_FORM} where length(f) >= 200))"
+    windows = "(select doc_id, i, hash(substr(text, i, 200)) as h from (select doc_id, text, unnest(range(1, length(text) - 198)) as i from documents where length(text) >= 200))"
+    return {
+        "p3_found": f"""with s as materialized (select * from {shingles}), n as (select doc_id, count(*) as n from s group by doc_id), ab as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all)
+            select a as doc_a, b as doc_b from ab join n x on x.doc_id = a join n y on y.doc_id = b where c >= 0.5 * (x.n + y.n - c)""",
+        "p4_found": f"""with w as materialized (select * from {windows}), hit as (select doc_id, i from w where h in (select h from w group by h having count(distinct doc_id) > 1)),
+            e as (select doc_id, i, case when i > lag(i) over (partition by doc_id order by i) + 200 then 1 else 0 end as new from hit), r as (select doc_id, i, sum(new) over (partition by doc_id order by i) as run from e)
+            select doc_id, min(i) - 1 as start_pos, max(i) + 199 as end_pos from r group by doc_id, run""",
+        "p5_found": f"""with g as (select doc_id, length(f) as n, i, row_number() over (partition by doc_id, substr(f, i, 20) order by i) as k from (select doc_id, f, unnest(range(1, length(f) - 18)) as i from {_FORM} where length(f) >= 20)),
+            p as (select distinct doc_id, n, unnest(range(i, i + 20)) as pos from g where k > 1) select doc_id from p group by doc_id, n having count(*) >= 0.3 * n""",
+        "p6_found": """with recursive e as (select distinct doc_a as u, doc_b as v from similar_pairs where pct >= 60 and doc_a <> doc_b union select doc_b, doc_a from similar_pairs where pct >= 60 and doc_a <> doc_b),
+            r(name, other) as (select u, u from e union select r.name, e.v from r join e on r.other = e.u) select name as doc_name, min(other) as group_name from r group by name""",
+    }
