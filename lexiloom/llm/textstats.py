@@ -10,6 +10,7 @@ import re
 import unicodedata
 from collections import Counter
 from functools import lru_cache
+from itertools import accumulate
 from math import log2, log10
 
 import numpy as np
@@ -75,10 +76,18 @@ class Lexicon:
             else:
                 self.spaced[lang] = frozenset(own)
 
-    def best(self, lower: str, words: Counter, total: int) -> tuple[str, float]:
-        """The language with the largest share of frequent words, and that share."""
-        share = {lang: sum([words[w] for w in own & words.keys()]) / total for lang, own in self.spaced.items()} if total else {}
-        letters = 0 if lower.isascii() or not _UNSPACED.search(lower) else len(_UNSPACED.findall(lower))
+        self.langs: dict[str, tuple[str, ...]] = {}
+        for lang, own in sorted(self.spaced.items()):
+            for w in own:
+                self.langs[w] = (*self.langs.get(w, ()), lang)
+        self.known = frozenset(self.langs)
+
+    def best(self, lower: str, words: Counter, total: int, letters: int) -> tuple[str, float]:
+        """The language with the largest share of frequent words, and that share; `letters` of scripts without spaces."""
+        share = dict.fromkeys(self.spaced, 0.0)
+        for w in self.known & words.keys():
+            for lang in self.langs[w]:
+                share[lang] += words[w] / total
         if letters and letters > 0.3 * max(1, sum([len(w) * n for w, n in words.items()])):
             share |= {lang: 2 * sum(len(m) for m in p.findall(lower)) / letters for lang, p in self.unspaced.items()}
         lang = max(sorted(share), key=lambda k: share[k]) if share else ""
@@ -95,7 +104,7 @@ class Lexicon:
 
 
 #: Bits of the kinds of a code point.
-_LETTER, _DIGIT, _UPPER, _BLANK, _BROKEN, _OTHER, _JOINED = 1, 2, 4, 8, 16, 32, 64
+_LETTER, _DIGIT, _UPPER, _BLANK, _BROKEN, _OTHER, _JOINED, _WIDE = 1, 2, 4, 8, 16, 32, 64, 128
 
 
 @lru_cache(maxsize=1)
@@ -107,6 +116,7 @@ def _bits() -> np.ndarray:
     table = np.zeros(0x110000, dtype=np.uint8)
     table[np.isin(major, ["L", "M"])] |= _LETTER
     table[major == "M"] |= _JOINED
+    table[[m.start() for m in _UNSPACED.finditer("".join(" " if 0xD800 <= c < 0xE000 else chr(c) for c in range(0x110000)))]] |= _WIDE
     table[major == "N"] |= _DIGIT
     table[kinds == "Lu"] |= _UPPER
     table[blank] |= _BLANK
@@ -116,6 +126,12 @@ def _bits() -> np.ndarray:
     return table
 
 
+@lru_cache(maxsize=8)
+def _with(bit: int) -> np.ndarray:
+    """The values of a code point's bits that have one of them."""
+    return np.flatnonzero(np.arange(256) & bit)
+
+
 def _ends(line: str) -> bool:
     """Whether a line ends with a mark, before any closing signs."""
     return line.rstrip(_CLOSERS)[-1:] in _MARKS if line else False
@@ -174,6 +190,8 @@ def _kinds(lines: list[str], letters: list[int], broken: list[int], words_of=wor
             kinds[i] = "product"
         elif not letters[i] and set(line) <= set("|-+=: _*"):
             kinds[i] = "table"
+        elif line[0].isalpha() and line[1:2] not in (".", ")"):
+            continue  # no beginning of a list entry
         elif _REFERENCE.match(line) and words_of(line) <= 40:
             kinds[i] = "list"
         elif _BULLET.match(line) and (w := words_of(line)) <= (10 if _THAI.search(line) else 12) and not (w > 8 and _ends(line)):
@@ -244,13 +262,16 @@ def statistics(text: str | None, lexicon: Lexicon) -> tuple[np.ndarray, str]:
     lower = whole.lower()
     bits = _bits()[code_points(whole)]
     # the plain pattern is faster; it would cut words at combining marks
-    tokens = (_WORD if np.any(bits & _JOINED) else _PLAIN_WORD).findall(lower)
+    kinds_of_bits = np.bincount(bits, minlength=256)
+    share = lambda b: float(kinds_of_bits[_with(b)].sum()) / total
+    tokens = (_WORD if share(_JOINED) else _PLAIN_WORD).findall(lower)
     words = Counter(tokens)
-    lang, best = lexicon.best(lower, words, len(tokens))
-    begins = np.cumsum([0, *(len(x) + 1 for x in lines[:-1])])
+    wide = int(kinds_of_bits[_with(_WIDE)].sum())
+    lang, best = lexicon.best(lower, words, len(tokens), wide)
+    begins = np.array(list(accumulate([0, *[len(x) + 1 for x in lines[:-1]]])))
     letters = np.add.reduceat((bits & (_LETTER | _BLANK) > 0).astype(np.int64), begins).tolist()
-    broken = np.add.reduceat((bits & _BROKEN > 0).astype(np.int64), begins).tolist()
-    words_of = _spaced_words if whole.isascii() or not _UNSPACED.search(whole) else word_count
+    broken = np.add.reduceat((bits & _BROKEN > 0).astype(np.int64), begins).tolist() if share(_BROKEN) else [0] * len(lines)
+    words_of = word_count if wide else _spaced_words
     kinds = _kinds(lines, letters, broken, words_of)
     size: Counter = Counter()
     ended = 0
@@ -279,15 +300,19 @@ def statistics(text: str | None, lexicon: Lexicon) -> tuple[np.ndarray, str]:
     for (i, line), own in zip(plain, own_items):
         w = words_of(line)
         sizes = [s for _, s in own]
-        phrases = sum([len(x) + 1 for x, s in own if s <= PHRASE_WORDS + 1])
-        again = sum([len(x) + 1 for x, s in own if s <= limit and (count[x.lower()] >= REPEATS or heads[_head(x)] >= REPEATS + 1)]) if most > REPEATS or repeating else 0
         mean = sum(sizes) / len(sizes) if sizes else 0.0
-        if again >= 0.6 * len(line) and mean <= usual and not passages:
+        kind = ""
+        if sizes and mean <= usual and not passages and (most > REPEATS or repeating):
+            again = sum([len(x) + 1 for x, s in own if s <= limit and (count[x.lower()] >= REPEATS or heads[_head(x)] >= REPEATS + 1)])
+            kind = "keywords" if again >= 0.6 * len(line) else ""
+        if not kind and sizes and w >= 20 and max(sizes) >= 0.8 * w and _repeats_words(line):
             kind = "keywords"
-        elif w >= 20 and max(sizes) >= 0.8 * w and _repeats_words(line):
-            kind = "keywords"
-        elif len(own) >= 5 and mean <= 3.5 and phrases >= 0.8 * len(line) and (not _ends(line) or _LABEL.match(line)) or len(own) >= 4 and _LABEL.match(line) and mean <= 3.5:
-            kind = "tags"
+        if not kind and mean <= 3.5 and len(sizes) >= 4:
+            phrases = sum([len(x) + 1 for x, s in own if s <= PHRASE_WORDS + 1])
+            labelled = _LABEL.match(line)
+            kind = "tags" if labelled or len(sizes) >= 5 and phrases >= 0.8 * len(line) and not _ends(line) else ""
+        if kind:
+            pass
         elif w <= 6 and not _ends(line) and len(line) < 60:
             kind = "heading"
         elif w >= 6 and best < 0.08 and not _ends(line) and lexicon.share(lang, line) < 0.04:
@@ -304,7 +329,6 @@ def statistics(text: str | None, lexicon: Lexicon) -> tuple[np.ndarray, str]:
                     if k == "heading":
                         size[k] -= n
                         size["tags"] += n
-    share = lambda b: float(np.count_nonzero(bits & b)) / total
     pairs = Counter(zip(tokens, tokens[1:]))
     n_tokens = max(1, len(tokens))
     entropy = log2(n_tokens) - sum([n * log2(n) for n in words.values() if n > 1]) / n_tokens
