@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.llm import holdout
 from lexiloom.llm.codes import rows_of
+from lexiloom.llm.sampling import sample_texts
 from lexiloom.llm.textstats import AT, NAMES, Lexicon, statistics
 from lexiloom.session import spread
 
@@ -163,11 +164,6 @@ def read_lexicon(common_words: DataFrame) -> Lexicon:
     return Lexicon(sorted((r["lang"], r["word"]) for r in rows))
 
 
-def _sample(documents: DataFrame) -> list[str]:
-    chosen = documents.filter(F.length("text").between(MIN_CHARS, SAMPLE_CHARS)).select("text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(SAMPLE_DOCS)
-    return [r["text"] for r in chosen.collect()]
-
-
 def make_up(documents: DataFrame, common_words: DataFrame) -> DataFrame:
     """doc_id, n_chars, language, the statistics of textstats.NAMES, and junk_probability of every document.
 
@@ -176,7 +172,7 @@ def make_up(documents: DataFrame, common_words: DataFrame) -> DataFrame:
     """
     documents = documents.select("doc_id", "text")
     lexicon = read_lexicon(common_words)
-    shared = documents.sparkSession.sparkContext.broadcast((lexicon, train(_sample(documents), lexicon)))
+    shared = documents.sparkSession.sparkContext.broadcast((lexicon, train(sample_texts(documents, SAMPLE_DOCS, MIN_CHARS, SAMPLE_CHARS), lexicon)))
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, judge = shared.value
