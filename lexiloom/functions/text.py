@@ -110,7 +110,9 @@ def spaced_text(c: Column | str) -> Column:
 
 
 def char_grams(s: Column, n: int) -> Column:
-    return let(s, lambda t: F.transform(_places(F.length(t) - (n - 1)), lambda i: F.substring(t, i, F.lit(n))))
+    """All strings of n characters, from an array of characters: substring() would walk from the start for each of them."""
+    characters = F.filter(F.split(s, ""), lambda c: F.length(c) > 0)
+    return let(characters, lambda t: F.transform(_places(F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, n), "")))
 
 
 def chunks(sentences: Column, size: int = 4, stride: int = 2) -> Column:

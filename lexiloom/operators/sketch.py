@@ -241,11 +241,25 @@ def minhash_compare(single_checks: DataFrame) -> DataFrame:
 
 def minhash_matrix(documents: DataFrame, every: int = 20) -> DataFrame:
     """doc_id, links, best_id, best_sim of each document whose id is divisible by `every`: with how many others it shares a
-    min-hash, and the most similar one (ties: smallest id). Values meet by (permutation, value): documents without an equal
-    value have similarity 0 and never meet."""
-    sig = minhash_signatures(documents.filter("doc_id is not null"), ["doc_id"], T.tokens_all("text"), "sig")
-    each = sig.select("doc_id", F.posexplode("sig").alias("i", "v"))
-    q = each.filter(F.col("doc_id") % every == 0).withColumnRenamed("doc_id", "q")
-    sims = q.join(each, ["i", "v"]).filter("q <> doc_id").groupBy("q", "doc_id").agg(F.count("*").alias("n"))
-    best = sims.groupBy("q").agg(F.count("*").alias("links"), F.min(F.struct((-F.col("n")).alias("n"), "doc_id")).alias("m"))
-    return best.select(F.col("q").alias("doc_id"), "links", F.col("m.doc_id").alias("best_id"), T.rounded(-F.col("m.n") / PERMUTATIONS, 4).alias("best_sim"))
+    min-hash, and the most similar one (ties: smallest id); no row without one. Of a doc_id that comes twice the smallest
+    text counts.
+
+    Documents of one signature are a class, so that copies meet once and not each with each. Classes meet by (permutation,
+    value): those without an equal value have similarity 0 and never meet.
+    """
+    one = documents.filter("doc_id is not null").groupBy("doc_id").agg(F.min(T.text_of("text")).alias("text"))
+    sig = minhash_signatures(one, ["doc_id"], T.tokens_all("text"), "sig").withColumn("cls", F.xxhash64("sig"))
+    members = sig.select("doc_id", "cls")
+    classes = sig.groupBy("cls").agg(F.count("*").alias("size"), F.min("doc_id").alias("first"), F.first("sig").alias("sig"))
+    # the smallest id of a class but its first, for queries that are the first themselves
+    second = members.join(classes.select("cls", "first"), "cls").filter("doc_id > first").groupBy("cls").agg(F.min("doc_id").alias("second"))
+    asked = members.filter(F.col("doc_id") % every == 0)
+    each = classes.select("cls", F.posexplode("sig").alias("i", "v"))
+    wanted = each.join(asked.select("cls").distinct(), "cls", "left_semi").withColumnRenamed("cls", "q")
+    sims = wanted.join(each, ["i", "v"]).filter("q <> cls").groupBy("q", "cls").agg(F.count("*").alias("n"))
+    others = sims.join(classes.select("cls", "size", "first"), "cls").groupBy("q").agg(F.sum("size").alias("links"), F.min(F.struct((-F.col("n")).alias("n"), F.col("first").alias("doc_id"))).alias("m"))
+    own = asked.join(classes.select("cls", "size", "first"), "cls").join(second, "cls", "left")
+    rows = own.join(others, own["cls"] == others["q"], "left").select(
+        "doc_id", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("links"),
+        F.when(F.col("size") > 1, F.struct(F.lit(-PERMUTATIONS).cast("long").alias("n"), F.when(F.col("doc_id") == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("doc_id"))).otherwise(F.col("m")).alias("m"))
+    return rows.filter("links > 0").select("doc_id", "links", F.col("m.doc_id").alias("best_id"), T.rounded(-F.col("m.n") / PERMUTATIONS, 4).alias("best_sim"))

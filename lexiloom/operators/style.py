@@ -35,13 +35,16 @@ def _count_words(s: Column) -> Column:
     return F.size(F.split(s, f"{T.SPACE}+"))
 
 
+def _counted(low: Column, terms: tuple[str, ...], before: str, after: str) -> Column:
+    """Matches of before + term + after in a lower-cased text, summed over the terms. Terms that the text doesn't contain (a
+    plain search) never get to a regular expression."""
+    there = F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(low, t))
+    return F.aggregate(there, F.lit(0).cast("bigint"), lambda n, t: n + F.regexp_count(low, F.concat(F.lit(before), t, F.lit(after))))
+
+
 def transition_count(text: Column) -> Column:
     """Occurrences of all transition terms as whole words (letters of a-z, digits and _ make words)."""
-    low = F.lower(text)
-    out = F.lit(0)
-    for term in lexicon.TRANSITIONS:
-        out = out + F.regexp_count(low, F.lit(f"(?<![a-zA-Z0-9_]){term}(?![a-zA-Z0-9_])"))
-    return out
+    return T.let(F.lower(text), lambda low: _counted(low, lexicon.TRANSITIONS, "(?<![a-zA-Z0-9_])", "(?![a-zA-Z0-9_])"))
 
 
 def signals(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -93,30 +96,24 @@ def punctuation(documents: DataFrame) -> DataFrame:
 
 def marker_phrases(documents: DataFrame) -> DataFrame:
     """doc_id, n, phrases: the marker phrases in a text, in their own order, joined by ' | '."""
-    low = F.lower(T.text_of("text"))
-    found = F.filter(F.array(*[F.lit(p) for p in lexicon.MARKERS]), lambda p: F.contains(low, p))
+    found = T.let(F.lower(T.text_of("text")), lambda low: F.filter(F.array(*[F.lit(p) for p in lexicon.MARKERS]), lambda p: F.contains(low, p)))
     return documents.select("doc_id", F.size(found).cast("long").alias("n"), F.array_join(found, " | ").alias("phrases"))
 
 
-def _signature(text: Column) -> tuple[list[Column], Column, Column]:
-    """Scores by signature, the index (from 1) of the first best one, and the confidence."""
-    low = F.lower(text)
-    all_scores = []
-    for _, phrases, transitions in lexicon.SIGNATURES:
-        s = F.lit(0.0)
-        for p in phrases:
-            s = s + F.regexp_count(low, F.lit(f"(?={p})"))
-        for p in transitions:
-            s = s + F.when(F.contains(low, F.lit(p)), 0.5).otherwise(0.0)
-        all_scores.append(s)
-    return all_scores, F.greatest(*all_scores), sum(all_scores[1:], all_scores[0])
+def _signature(text: Column) -> Column:
+    """Scores by signature: overlapping occurrences of its phrases, and half a point for each of its transitions."""
+
+    def scores(low: Column) -> Column:
+        half = lambda terms: F.size(F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(low, t))) / 2
+        return F.array(*[_counted(low, phrases, "(?=", ")") + half(transitions) for _, phrases, transitions in lexicon.SIGNATURES])
+
+    return T.let(F.lower(text), scores)
 
 
 def signatures(documents: DataFrame) -> DataFrame:
     """doc_id, model, confidence, total: whose phrases a text has most of; null and 0 if the total is below 2. Ties take the
     first in the declared order."""
-    made, top, total = _signature(T.text_of("text"))
-    rows = documents.select("doc_id", F.array(*made).alias("s"), top.alias("top"), total.alias("total"))
+    rows = documents.select("doc_id", _signature(T.text_of("text")).alias("s")).select("doc_id", "s", F.array_max("s").alias("top"), T.total(F.col("s")).alias("total"))
     sure = (F.col("top") > 0) & (F.col("total") >= 2)
     names = F.array(*[F.lit(n) for n, _, _ in lexicon.SIGNATURES])
     return rows.select("doc_id", F.when(sure, F.element_at(names, F.array_position("s", F.col("top")).cast("int"))).alias("model"), F.when(sure, T.rounded(F.col("top") / F.greatest(F.col("total"), F.lit(1.0)), 3)).otherwise(0.0).alias("confidence"), "total")
@@ -182,10 +179,8 @@ def machine_style(documents: DataFrame) -> DataFrame:
     """doc_id, score, pct, verdict, certainty: the weighted signals, raised by a sure phrase signature. Texts below 50
     characters: 0, 0, 'Unknown', 'Low'. One row per doc_id (repeated rows count once)."""
     one = documents.filter("doc_id is not null").groupBy("doc_id").agg(F.min(T.text_of("text")).alias("text"))
-    made, top, total = _signature(F.col("text"))
-    low = F.lower(F.col("text"))
-    phrases = F.size(F.filter(F.array(*[F.lit(p) for p in lexicon.MARKERS]), lambda p: F.contains(low, p)))
-    rows = signals(one).withColumn("n_phrases", phrases).withColumn("top", top).withColumn("sum", total)
+    phrases = T.let(F.lower(F.col("text")), lambda low: F.size(F.filter(F.array(*[F.lit(p) for p in lexicon.MARKERS]), lambda p: F.contains(low, p))))
+    rows = signals(one).withColumn("n_phrases", phrases).withColumn("made", _signature(F.col("text"))).withColumn("top", F.array_max("made")).withColumn("sum", T.total(F.col("made")))
     rows = rows.join(with_curvature(one), "doc_id")
     parts = {
         "uniform_length": 1 - F.col("burstiness"), "low_hapax": 1 - F.col("hapax"), "transition": F.col("transition"), "entropy": F.col("entropy"), "phrases": F.least(F.col("n_phrases") / 2, F.lit(1.0)),

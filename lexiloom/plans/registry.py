@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import text as T
 from lexiloom.operators import alignment, pairs, paraphrase, postings, reports, sketch, style
-from lexiloom.session import table
+from lexiloom.session import spread, table
 from lexiloom.sources import files, lookup, sinks
 
 
@@ -70,6 +70,15 @@ def _derived(c: DataFrame) -> DataFrame:
     return reports.derived_percentages(rows)
 
 
+def _one_against_many(d: DataFrame) -> DataFrame:
+    """doc_id, similarity of the document of the smallest id (one row, read first) with every document."""
+    target = d.filter("doc_id is not null").orderBy("doc_id", "text").select("text").first()
+    return alignment.one_against_many((target["text"] if target else None) or "", d, "doc_id", "text")
+
+
+#: Tables of texts: read in fewer partitions than there are cores, they are spread over them first.
+TEXTS = ("documents", "single_checks", "sentence_matches")
+
 #: Query -> (function of tables, their names).
 PLANS: dict[str, tuple[Callable[..., DataFrame], tuple[str, ...]]] = {
     "text_stats": (reports.text_stats, ("documents",)),
@@ -121,6 +130,7 @@ PLANS: dict[str, tuple[Callable[..., DataFrame], tuple[str, ...]]] = {
     "lcs_words": (alignment.words, ("single_checks",)),
     "local_alignment": (alignment.local, ("single_checks",)),
     "alignment_report": (alignment.report, ("single_checks",)),
+    "one_against_many": (_one_against_many, ("documents",)),
     "derived_percentages": (_derived, ("single_checks",)),
     "files_validated": (files.validated, ("parsed_files",)),
     "files_dispatched": (files.dispatched, ("parsed_files",)),
@@ -149,7 +159,7 @@ def _bound(name: str) -> Callable[[SparkSession, str], DataFrame]:
     plan, names = PLANS[name]
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return plan(*(table(spark, sf_dir, n) for n in names))
+        return plan(*(spread(table(spark, sf_dir, n)) if n in TEXTS else table(spark, sf_dir, n) for n in names))
 
     query.__name__, query.__doc__ = name, plan.__doc__
     return query
