@@ -322,7 +322,10 @@ def statistics(text: str | None, lexicon: Lexicon) -> tuple[np.ndarray, str]:
         size[kind] += len(line)
         # a run of short lines without a mark: a tag each
         if kind in ("heading", "keywords") and w <= 5 and not _ends(line):
-            run, held = (run + 1, held + [(kind, len(line))]) if i == before + 1 else (1, [(kind, len(line))])
+            if i != before + 1:
+                run, held = 0, []
+            run += 1
+            held.append((kind, len(line)))
             before = i
             if run >= TAG_RUN:
                 for k, n in held if run == TAG_RUN else held[-1:]:
