@@ -42,7 +42,7 @@ def tfidf(documents: DataFrame) -> DataFrame:
 def tfidf_top(documents: DataFrame, k: int = 10) -> DataFrame:
     """doc_id, rank, term, weight of the k heaviest terms of each document; ties by term."""
     by = Window.partitionBy("doc_id").orderBy(F.desc("w"), "term")
-    return tfidf(documents).withColumn("w", T.rounded(F.col("weight"), 9)).withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("doc_id", "rank", "term", T.rounded(F.col("w"), 6).alias("weight"))
+    return tfidf(documents).withColumn("w", T.rounded(F.col("weight"), 9)).withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("doc_id", F.col("rank").cast("long").alias("rank"), "term", T.rounded(F.col("w"), 6).alias("weight"))
 
 
 def corpus_cosine(documents: DataFrame, every: int = 20) -> DataFrame:

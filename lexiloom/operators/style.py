@@ -193,5 +193,5 @@ def machine_style(documents: DataFrame) -> DataFrame:
     s = F.col("s")
     return rows.select("doc_id", "text", T.rounded(final, 9).alias("s")).select(
         "doc_id", F.when(long, T.rounded(s, 4)).otherwise(0.0).alias("score"), F.when(long, T.percent(s)).otherwise(0).cast("long").alias("pct"),
-        F.when(~long, "Unknown").when(s >= 0.70, "Likely machine-written").when(s >= 0.45, "Mixed / Uncertain").when(s >= 0.25, "Likely Human-Written").otherwise("Human-Written").alias("verdict"),
+        F.when(~long, "Unknown").when(s >= 0.70, "Likely AI-Generated").when(s >= 0.45, "Mixed / Uncertain").when(s >= 0.25, "Likely Human-Written").otherwise("Human-Written").alias("verdict"),
         F.when(~long, "Low").when((s >= 0.25) & (s < 0.70), "Medium Confidence").otherwise("High Confidence").alias("certainty"))

@@ -224,7 +224,7 @@ CURVE = f"(select doc_id, case when len(x) < 20 then null else least(list_var_po
 
 
 def likelihood(c: str) -> str:
-    return f"case when {c} is null then 0.0 when {rnd(c, 9)} > 2.5 then 0.9 when {rnd(c, 9)} > 1.8 then 0.6 when {rnd(c, 9)} > 1.0 then 0.3 else 0.05 end"
+    return f"case when {c} is null then 0.0::double when {rnd(c, 9)} > 2.5 then 0.9 when {rnd(c, 9)} > 1.8 then 0.6 when {rnd(c, 9)} > 1.0 then 0.3 else 0.05 end"
 
 
 def occurrences(p: str) -> str:
@@ -236,7 +236,7 @@ SIG_ROWS = f"(select doc_id, list_max(s) as top, list_sum(s) as total, list_posi
 MARKED = f"(select doc_id, list_filter([{', '.join(q(p) for p in lexicon.MARKERS)}], lambda p: contains(lower(t), p)) as l from {D})"
 STYLE = f"""(select s.doc_id, length(s.t) as chars, {rnd(f"least(least(greatest((1 - burstiness) * 0.04 + (1 - hapax) * 0.04 + transition * 0.15 + entropy * 0.20 + least(len(m.l) / 2.0, 1.0) * 0.10 + repetition * 0.05 + (1 - fog) * 0.05 + zipf * 0.05 + uniformity * 0.05 + {likelihood('c.curvature')} * 0.27, 0.0), 1.0) + case when conf > 0.4 then conf * 0.08 else 0.0 end, 1.0)", 9)} as f
     from {SIGNALS} s join {CURVE} c using (doc_id) join {MARKED} m using (doc_id) join (select doc_id, case when top > 0 and total >= 2 then {rnd('top / greatest(total, 1.0)', 3)} else 0.0 end as conf from {SIG_ROWS}) g using (doc_id))"""
-VERDICT = "case when chars < 50 then 'Unknown' when f >= 0.70 then 'Likely machine-written' when f >= 0.45 then 'Mixed / Uncertain' when f >= 0.25 then 'Likely Human-Written' else 'Human-Written' end"
+VERDICT = "case when chars < 50 then 'Unknown' when f >= 0.70 then 'Likely AI-Generated' when f >= 0.45 then 'Mixed / Uncertain' when f >= 0.25 then 'Likely Human-Written' else 'Human-Written' end"
 STYLE_ROWS = f"(select doc_id, case when chars < 50 then 0.0 else {rnd('f', 4)} end as score, case when chars < 50 then 0 else {pct('f')} end as pct, {VERDICT} as verdict, case when chars < 50 then 'Low' when f >= 0.25 and f < 0.70 then 'Medium Confidence' else 'High Confidence' end as certainty from {STYLE})"
 CHUNK_UNITS = f"(select doc_id, unnest(list_transform(range(1, len(s), 2), lambda i: array_to_string(list_slice(s, i, i + 3), ' '))) as t from (select doc_id, {style('t')} as s from {D}) where len(s) >= 8)"
 CHUNK_VECTORS = f"""(select doc_id, coalesce(list_sum(wl), 0)::double / greatest(n, 1) as awl, 0.39 * (n::double / greatest(ns, 1)) + 11.8 * (coalesce(list_sum(list_transform(wl, lambda v: greatest(1, floor(v / 3.0)))), 0)::double / greatest(n, 1)) - 15.59 as fk,
