@@ -34,9 +34,9 @@ def document_frequency(documents: DataFrame) -> DataFrame:
 
 def tfidf(documents: DataFrame) -> DataFrame:
     """doc_id, term, weight = tf (ln((N + 1) / (df + 1)) + 1)."""
-    n = documents.agg(F.count("*").alias("n_docs"))
-    rows = term_frequency(documents).join(document_frequency(documents), "term").join(F.broadcast(n))  # one row
-    return rows.select("doc_id", "term", (F.col("tf") * (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1)).alias("weight"))
+    n = documents.count()
+    rows = term_frequency(documents).join(document_frequency(documents), "term")
+    return rows.select("doc_id", "term", (F.col("tf") * (F.log(F.lit(float(n + 1)) / (F.col("df") + 1)) + 1)).alias("weight"))
 
 
 def tfidf_top(documents: DataFrame, k: int = 10) -> DataFrame:

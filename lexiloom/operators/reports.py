@@ -44,8 +44,8 @@ def document_summary(documents: DataFrame, similar_pairs: DataFrame) -> DataFram
 def bulk_counters(documents: DataFrame, similar_pairs: DataFrame) -> DataFrame:
     """docs, similar_docs (max_pct >= 40), styled_docs (style_pct >= 60), strong_pairs (pair rows with pct >= 60): one row."""
     rows = document_summary(documents, similar_pairs).agg(F.count("*").alias("docs"), F.count_if(F.col("max_pct") >= 40).alias("similar_docs"), F.count_if(F.col("style_pct") >= 60).alias("styled_docs"))
-    pairs = similar_pairs.select("pair_id", "pct").distinct().agg(F.count_if(F.col("pct") >= 60).alias("strong_pairs"))
-    return rows.join(F.broadcast(pairs))  # one row each
+    strong = similar_pairs.select("pair_id", "pct").distinct().filter("pct >= 60").count()
+    return rows.withColumn("strong_pairs", F.lit(strong).cast("long"))
 
 
 def pair_report(similar_pairs: DataFrame, limit: int = 20) -> DataFrame:

@@ -198,16 +198,21 @@ def simhash_compare(single_checks: DataFrame) -> DataFrame:
 
 def near_paragraphs(single_checks: DataFrame, threshold: float = 0.80) -> DataFrame:
     """check_id, index_a, index_b, similarity of the paragraphs (over 30 characters) of both texts whose SimHash similarity
-    reaches the threshold. Paragraphs meet by equal bytes: at a distance of up to 3 of 32 bits one of four bytes is equal;
-    lower thresholds need the pair's paragraphs in full, which stay within the pair."""
+    reaches the threshold. At a distance of d bits, one of any d + 1 bands of the 32 bits is equal: paragraphs meet by
+    equal bands, which loses none."""
     pairs = checks(single_checks)
+    distance = int((1 - threshold) * 32 + 1e-9)
+    edges = [32 * k // (distance + 1) for k in range(distance + 2)]
+    bands = [(k, a, (1 << (b - a)) - 1) for k, (a, b) in enumerate(zip(edges, edges[1:]))]
 
     def side(c: str, index: str, out: str) -> DataFrame:
         parts = F.filter(F.split(c, "\n{2,}|\r\n{2,}"), lambda p: F.length(T.trimmed(p)) > 30)
         units = pairs.select("check_id", F.posexplode(parts).alias(index, "p")).withColumn("w", F.filter(T.tokens_all("p"), lambda t: F.length(t) > 2))
-        return _mapped(units, ["check_id", index], "w", out, "bigint", simhash)
+        hashed = _mapped(units, ["check_id", index], "w", out, "bigint", simhash)
+        cells = F.array(*[F.struct(F.lit(k).alias("band"), F.shiftright(out, a).bitwiseAND(F.lit(mask)).alias("bits")) for k, a, mask in bands])
+        return hashed.select("check_id", index, out, F.explode(cells).alias("c")).select("check_id", index, out, "c.band", "c.bits")
 
-    both = side("a", "index_a", "ha").join(side("b", "index_b", "hb"), "check_id")
+    both = side("a", "index_a", "ha").join(side("b", "index_b", "hb"), ["check_id", "band", "bits"]).select("check_id", "index_a", "index_b", "ha", "hb").distinct()
     s = 1 - F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) / 32
     return both.withColumn("s", s).filter(F.col("s") >= threshold).select("check_id", F.col("index_a").cast("long").alias("index_a"), F.col("index_b").cast("long").alias("index_b"), T.rounded(F.col("s"), 4).alias("similarity"))
 
