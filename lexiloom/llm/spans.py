@@ -134,6 +134,23 @@ def shared_stretches(hashes: np.ndarray, docs: np.ndarray, starts: np.ndarray, t
     return docs[part[hit]], starts[part[hit]] + hit - begin[part[hit]]
 
 
+def _pieces(stream: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
+    """The text around each passage of each record: cut from a Python string, whose characters need no walk from the start."""
+    names = ["hash", "doc_id", "start", "at", "piece"]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string())
+    rows: list[tuple] = []
+    for batch in stream:
+        for k in range(batch.num_rows):
+            doc, text = batch.column("doc_id")[k].as_py(), batch.column("text")[k].as_py() or ""
+            for f in batch.column("found")[k].as_py():
+                rows.append((f["hash"], doc, f["lo"], f["pos"] - f["lo"], text[f["lo"] : f["hi"] + span]))
+                if len(rows) >= 2000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+                    rows = []
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+
+
 def _intervals(doc: np.ndarray, start: np.ndarray, span: int) -> pa.RecordBatch:
     """Stretches as runs of neighbours."""
     order = np.lexsort((start, doc))
@@ -158,9 +175,12 @@ def shared_runs(documents: DataFrame, span: int = SPAN, passage: int = PASSAGE,
 
     each = marks.filter("found is not null").select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.*")
     recurring = each.groupBy("hash").agg(F.min("doc_id").alias("one"), F.max("doc_id").alias("other"), F.count("*").alias("n")).filter("one <> other").select("hash", (F.col("n") > hot).alias("is_hot"))
-    of_doc = each.join(recurring, "hash").groupBy("doc_id").agg(F.collect_list(F.struct("hash", "pos", "lo", "hi", "is_hot")).alias("found"))
-    placed = of_doc.join(documents, "doc_id").select("doc_id", "text", F.explode("found").alias("f"))
-    pieces = placed.select(F.col("f.hash").alias("hash"), "doc_id", F.col("f.lo").alias("start"), (F.col("f.pos") - F.col("f.lo")).alias("at"), F.col("f.is_hot").alias("is_hot"), F.substring("text", F.col("f.lo") + 1, F.col("f.hi") - F.col("f.lo") + span).alias("piece"))
+
+    def around(which: str) -> DataFrame:
+        """The texts around the recurring passages of one kind; an empty kind costs no pass over the texts (adaptive plans)."""
+        of_doc = each.join(recurring.filter(which).select("hash"), "hash").groupBy("doc_id").agg(F.collect_list(F.struct("hash", "pos", "lo", "hi")).alias("found"))
+        return of_doc.join(documents, "doc_id").select("doc_id", "text", "found").mapInArrow(lambda s: _pieces(s, span), "hash long, doc_id long, start int, at int, piece string")
+
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), cores(spark))
 
     def shard(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,8 +207,8 @@ def shared_runs(documents: DataFrame, span: int = SPAN, passage: int = PASSAGE,
             yield work(pa.Table.from_batches(held).combine_chunks())
 
     schema = "doc_id long, start_pos long, end_pos long"
-    cold = pieces.filter("not is_hot").select("hash", "doc_id", "start", "at", "piece").repartition(tasks, "hash").sortWithinPartitions("hash").mapInArrow(shard, schema)
-    windows = pieces.filter("is_hot").select("doc_id", "start", "piece", F.explode(F.sequence(F.lit(0), F.length("piece") - span)).alias("i")).select("doc_id", (F.col("start") + F.col("i")).cast("long").alias("start_pos"), F.xxhash64(F.substring("piece", F.col("i") + 1, F.lit(span))).alias("w"))
+    cold = around("not is_hot").repartition(tasks, "hash").sortWithinPartitions("hash").mapInArrow(shard, schema)
+    windows = around("is_hot").select("doc_id", "start", "piece", F.explode(F.sequence(F.lit(0), F.length("piece") - span)).alias("i")).select("doc_id", (F.col("start") + F.col("i")).cast("long").alias("start_pos"), F.xxhash64(F.substring("piece", F.col("i") + 1, F.lit(span))).alias("w"))
     common = windows.groupBy("w").agg(F.min("doc_id").alias("one"), F.max("doc_id").alias("other")).filter("one <> other").select("w")
     warm = windows.join(common, "w", "left_semi").select("doc_id", "start_pos", (F.col("start_pos") + span).alias("end_pos"))
     return _united(whole.unionByName(cold).unionByName(warm))
