@@ -60,10 +60,19 @@ def tokens_letters(c: Column | str) -> Column:
     return _words(text_of(c), "a-z", 3)
 
 
+#: Maps that the synonym table is dealt to.
+CANONICAL_MAPS = 128
+
+
 def canonical(t: Column, groups=lexicon.SYNONYMS) -> Column:
     """The canonical word of a token, or the token."""
-    pairs = [F.lit(x) for kv in sorted(lexicon.canonical_words(groups).items()) if " " not in kv[0] for x in kv]
-    return F.coalesce(F.element_at(F.create_map(*pairs), t), t)
+    # a map is searched entry by entry: the words are dealt to small maps by their first character and length
+    parts: list[list[Column]] = [[] for _ in range(CANONICAL_MAPS)]
+    for word, name in sorted(lexicon.canonical_words(groups).items()):
+        if " " not in word:
+            parts[(7 * ord(word[:1] or "\0") + len(word)) % CANONICAL_MAPS] += [F.lit(word), F.lit(name)]
+    maps = F.array(*[F.create_map(*p) if p else F.lit(None).cast("map<string,string>") for p in parts])
+    return F.coalesce(F.element_at(F.get(maps, F.pmod(7 * F.ascii(t) + F.length(t), F.lit(CANONICAL_MAPS))), t), t)
 
 
 def tokens_canonical(c: Column | str, groups=lexicon.SYNONYMS) -> Column:
