@@ -31,8 +31,8 @@ from lexiloom.session import cores, spread, stored
 SHINGLE = 12
 MIN_CHARS = 200
 THRESHOLD = 0.5
-#: Chance of a candidate: 0.95 at similarity 0.5, 0.99 at 0.55, 0.999 at 0.6.
-ROWS, BANDS = 4, 48
+#: Chance of a candidate: 0.9998 at similarity 0.5, 0.99999 at 0.55.
+ROWS, BANDS = 3, 64
 BINS = ROWS * BANDS
 #: Hashes compared by the Bayesian test, in batches; posterior probability below which a candidate is dropped.
 SKETCH, BATCH, MISS = 96, 16, 1e-3
