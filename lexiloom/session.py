@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,12 +32,6 @@ def use_checkpoints(spark: SparkSession) -> None:
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lexiloom-checkpoint-"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, materialised in the checkpoint folder, with the lineage cut."""
-    use_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def cores(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 
@@ -51,12 +49,66 @@ def default_tokenizers() -> str:
     return os.environ.get("LEXILOOM_TOKENIZERS", "/opt/tokenizers")
 
 
+def apart(spark: SparkSession, **conf: object) -> SparkSession:
+    """A session of the same application with settings of its own, for eager steps: the caller's settings stay as they are.
+    Names are those of spark.sql, with _ for the points."""
+    own = spark.newSession()
+    for name, value in conf.items():
+        own.conf.set("spark.sql." + name.replace("_", "."), value)
+    return own
+
+
+#: Paths of stored tables that are still there, by application.
+_stored: dict[str, list[str]] = {}
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """The same rows as a parquet table in the checkpoint folder: lineage cut, columns prunable on every later read."""
-    import uuid
+    """The same rows as a parquet table in the checkpoint folder: lineage cut, columns prunable on every later read.
 
+    The table stays until drop() is called for it, release() for all of the application, or Python ends.
+    """
     spark = df.sparkSession
     use_checkpoints(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    if not _stored:
+        atexit.register(release)
+    _stored.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored_table(spark, path, df.schema)
+
+
+def stored_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A stored table as a frame of any session of the application."""
+    out = spark.read.schema(schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def moved(df: DataFrame, spark: SparkSession) -> DataFrame:
+    """A stored table (anything else is stored first) as a frame of another session."""
+    there = df if hasattr(df, "_stored_at") else stored(df)
+    return stored_table(spark, there._stored_at, there.schema)
+
+
+def _delete(path: str) -> None:
+    sc = SparkContext._active_spark_context
+    there = sc._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(sc._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables made by stored() that no later step reads; other frames are left alone."""
+    for df in tables:
+        path = getattr(df, "_stored_at", None)
+        own = _stored.get(df.sparkSession.sparkContext.applicationId, [])
+        if path in own:
+            own.remove(path)
+            _delete(path)
+
+
+def release() -> None:
+    """Delete all tables that the running application has stored. Results that are not yet written must not be used any more."""
+    sc = SparkContext._active_spark_context
+    if sc is not None and sc._jsc is not None:
+        for path in _stored.pop(sc.applicationId, []):
+            _delete(path)
