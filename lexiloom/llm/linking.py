@@ -1,132 +1,139 @@
 """Problem 6: one group for all names that are linked directly or through others.
 
-Names get dense ids in code-point order, so that the smallest id of a group is its smallest name and all further work is on
-longs. The graph is then reduced before it is solved:
-
-1. vertices of degree one are stripped: each hangs on its only neighbour;
-2. chains of degree-two vertices are compressed by list ranking: pointer doubling over half-edges finds the two ends of
-   every chain in a logarithmic number of steps; the chain becomes one edge, its inner vertices hang on one of the ends;
-3. the reduced core is solved by alternating large-star and small-star steps;
-4. labels go back to the removed vertices in the reverse order of their removal.
-
-Every step is a join or aggregation on vertices; aggregations combine before the exchange, a hub's edges are split by
-Spark's skew join, and nothing is gathered in one task or the driver but counts. Each step's result is written to the
-checkpoint folder, so that a lost executor costs no more than the step.
+Vertices are 64-bit hashes of the names (a collision, found by one aggregation, makes the work start over with another seed).
+The graph is reduced before it is solved; one round of the reduction
+
+1. strips vertices of degree one: each hangs on its only neighbour;
+2. compresses chains of degree-two vertices by list ranking with independent sets (Anderson and Miller): a chain vertex whose
+   random priority is the smallest among its neighbours in the chain is spliced out, its two neighbours become linked, and it
+   hangs on one of them. A third of a chain goes in each round, so that all rounds together cost in proportion to its length;
+
+and rounds go on until neither removes a vertex: then every vertex has three neighbours or more. That core is solved by
+alternating large-star and small-star steps, and labels go back to the removed vertices along the ones they hang on, by
+pointer doubling: what a vertex hangs on was removed in a later round, if at all.
+
+A round is four aggregations in turn on vertices and on edges, all combined before the exchange, and no join: a hub costs no
+task more than another vertex. It is one write; what it removed is counted in passing. Nothing is gathered in one task or the
+driver but counts. Every round's table lies in the checkpoint folder, so that a lost executor costs no more than the round;
+it is deleted as soon as the next one is there.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from lexiloom.session import cut
+from lexiloom.session import apart, drop, moved, stored
 
 #: A link needs at least this pct.
 MIN_PCT = 60
-#: Reductions go on while one removes at least this share of the edges, up to MAX_REDUCTIONS; the core solver takes the rest.
-WORTHWHILE = 0.1
-MAX_REDUCTIONS = 2
+#: Edges of a partition in a round of the reduction.
+PARTITION_EDGES = 500_000
+#: Seeds tried before collisions of names' hashes are given up on (two in a row are as good as impossible).
+SEEDS = 8
 
 
 def links(pairs: DataFrame, min_pct: int = MIN_PCT) -> DataFrame:
-    """doc_a < doc_b: the distinct links of pair rows; rows with a null name or pct, a small pct or equal names are none."""
+    """doc_a < doc_b: the links of pair rows, repeated ones too; rows with a null name or pct, a small pct or equal names are
+    none."""
     a, b = F.col("doc_a"), F.col("doc_b")
-    return pairs.filter((F.col("pct") >= min_pct) & (a != b)).select(F.least(a, b).alias("doc_a"), F.greatest(a, b).alias("doc_b")).distinct()
+    return pairs.filter((F.col("pct") >= min_pct) & (a != b)).select(F.least(a, b).alias("doc_a"), F.greatest(a, b).alias("doc_b"))
 
 
-def _both(edges: DataFrame) -> DataFrame:
-    """u, v: every edge in both directions, by one pass over the edges."""
-    return edges.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.*")
+def _edge(u: Column, v: Column) -> tuple[Column, Column]:
+    return F.least(u, v).alias("a"), F.greatest(u, v).alias("b")
 
 
-def _strip(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(hung: v, parent; the other edges). Of an edge between two vertices of degree one the smaller stays."""
-    degree = _both(edges).groupBy("u").agg(F.count("*").alias("d"))
-    ones = degree.filter("d = 1").select("u", F.lit(True).alias("one"))
-    marked = edges.join(ones.select(F.col("u").alias("a"), F.col("one").alias("one_a")), "a", "left").join(ones.select(F.col("u").alias("b"), F.col("one").alias("one_b")), "b", "left")
-    marked = cut(marked.select("a", "b", F.coalesce("one_a", F.lit(False)).alias("one_a"), F.coalesce("one_b", F.lit(False)).alias("one_b")))
-    hung = marked.filter("one_a or one_b").select(F.when(F.col("one_b"), F.col("b")).otherwise(F.col("a")).alias("v"), F.when(F.col("one_b"), F.col("a")).otherwise(F.col("b")).alias("parent"))
-    return hung, marked.filter("not one_a and not one_b").select("a", "b")
+def _ends(edges: DataFrame, **columns: tuple[str, str]) -> DataFrame:
+    """u, v: every edge in both directions, by one pass; further columns are named by (column at a, column at b)."""
+    side = lambda k: [F.col("ab"[k]).alias("u"), F.col("ba"[k]).alias("v"), *(F.col(c[k]).alias(n) for n, c in columns.items())]
+    return edges.select(F.explode(F.array(F.struct(*side(0)), F.struct(*side(1)))).alias("e")).select("e.*")
 
 
-def _compress(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(hung: v, parent; edges with each chain of degree-two vertices between two other vertices as one edge).
+def _counted(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict]:
+    """The stored rows, and aggregates of them taken while they were written."""
+    seen = Observation()
+    out = stored(df.observe(seen, *[c.alias(n) for n, c in counts.items()]))
+    return out, seen.get
 
-    Closed rings without any other vertex have no end; they stay as they are.
-    """
-    both = _both(edges)
-    two = both.groupBy("u").agg(F.count("*").alias("d"), F.min("v").alias("lo"), F.max("v").alias("hi")).filter("d = 2").select(F.col("u").alias("m"), "lo", "hi")
-    # half-edge (s, t): from s towards t. While t has degree two, the next half-edge is (t, its other neighbour).
-    half = both.join(two.withColumnRenamed("m", "v"), "v", "left").select(
-        "u", "v", F.when(F.col("lo").isNull(), None).when(F.col("lo") == F.col("u"), F.col("hi")).otherwise(F.col("lo")).alias("w"))
-    starts = half.join(two.select(F.col("m").alias("u")), "u", "left_semi")
-    # of a chain vertex u towards v: hop (hu, hv) is the half-edge reached so far; done when its target isn't a chain vertex
-    state = cut(starts.select("u", "v", F.coalesce(F.when(F.col("w").isNotNull(), F.col("v")), F.col("u")).alias("hu"), F.coalesce("w", "v").alias("hv"), F.col("w").isNull().alias("done")))
-    left = state.filter("not done").count()
-    while left:
-        step = state.select(F.col("u").alias("hu"), F.col("v").alias("hv"), F.col("hu").alias("ju"), F.col("hv").alias("jv"), F.col("done").alias("jdone"))
-        going = state.filter("not done").join(step, ["hu", "hv"], "left").select(
-            "u", "v", F.coalesce("ju", "hu").alias("hu"), F.coalesce("jv", "hv").alias("hv"), F.coalesce("jdone", F.lit(False)).alias("done"))
-        state = cut(state.filter("done").unionByName(going))
-        now = state.filter("not done").count()
-        if now == left:  # only rings are left: doubling finishes open chains of any length, each step finishes some
-            break
-        left = now
-    ends = state.filter("done").groupBy("u").agg(F.count("*").alias("n"), F.min("hv").alias("e1"), F.max("hv").alias("e2")).filter("n = 2")
-    ends = cut(ends)
-    hung = ends.select(F.col("u").alias("v"), F.col("e1").alias("parent"))
-    gone = ends.select(F.col("u").alias("x"))
-    kept = edges.join(gone.withColumnRenamed("x", "a"), "a", "left_anti").join(gone.withColumnRenamed("x", "b"), "b", "left_anti").select("a", "b")
-    joined = ends.filter("e1 < e2").select(F.col("e1").alias("a"), F.col("e2").alias("b"))
-    return hung, kept.union(joined).distinct()
+
+def _round(edges: DataFrame, turn: int) -> DataFrame:
+    """hung, a, b: the edges that are left (hung false) and the removed vertices a with what they hang on, b (hung true)."""
+    low = _ends(edges).groupBy("u").agg(F.count("*").alias("d"), F.min("v").alias("lo"), F.max("v").alias("hi")).filter("d <= 2")
+    # edges with the degree of either end: 1, 2 or, for all others, 0
+    near = low.select("u", "d", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("v"))
+    at = lambda end: F.when(F.col("u") == F.col(end), F.col("d")).otherwise(0)
+    told = near.select("u", "d", *_edge(F.col("u"), F.col("v"))).select("a", "b", at("a").alias("da"), at("b").alias("db"))
+    none = F.lit(0).cast("long")
+    known = edges.select("a", "b", none.alias("da"), none.alias("db")).union(told).groupBy("a", "b").agg(F.max("da").alias("da"), F.max("db").alias("db"))
+    # a vertex of degree one or two sees all its neighbours
+    seen = _ends(known, du=("da", "db"), dv=("db", "da")).filter("du > 0")
+    rank = lambda c: F.struct(F.xxhash64(c, F.lit(turn)), c)
+    ahead = (F.col("dv") == 2) & (rank(F.col("v")) < rank(F.col("u")))
+    seen = seen.groupBy("u").agg(F.max("du").alias("d"), F.min("v").alias("v1"), F.max("v").alias("v2"), F.max((F.col("dv") == 1).cast("int")).alias("leaf"), F.max(ahead.cast("int")).alias("behind"))
+    strip = (F.col("d") == 1) & ((F.col("leaf") == 0) | (F.col("u") > F.col("v1")))  # of two leaves the smaller stays
+    splice = (F.col("d") == 2) & (F.col("leaf") == 0) & (F.col("behind") == 0)
+    gone = seen.filter(strip | splice)
+    lost = gone.select("u", F.explode(F.array_distinct(F.array("v1", "v2"))).alias("v")).select(*_edge(F.col("u"), F.col("v")), F.lit(1).alias("lost"))
+    joined = gone.filter("d = 2").select(*_edge(F.col("v1"), F.col("v2")), F.lit(0).alias("lost"))
+    left = known.select("a", "b", F.lit(0).alias("lost")).union(lost).union(joined).groupBy("a", "b").agg(F.max("lost").alias("lost")).filter("lost = 0")
+    return left.select(F.lit(False).alias("hung"), "a", "b").union(gone.select(F.lit(True), "u", "v1"))
 
 
 def _solve(edges: DataFrame) -> DataFrame:
-    """v, root: the smallest vertex of each vertex's group, by alternating stars."""
-    stars = cut(edges)
-    before = None
+    """a, b: the smallest vertex a of the group of each other vertex b, by alternating stars."""
+    stars, before = edges, None
     while True:
-        both = _both(stars)
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = _ends(stars).groupBy("u").agg(F.min("v").alias("m"))
         # large star: every larger neighbour is linked to the smallest one
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("b"), F.col("m").alias("a")).filter("a < b").distinct()
+        large = _ends(stars).filter("v > u").join(low, "u").select(F.col("v").alias("b"), F.least("u", "m").alias("a"))
         # small star: u and its smaller neighbours are linked to the smallest of them
         least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(least, "b").select(F.explode(F.array(F.struct(F.col("a").alias("b"), F.col("m").alias("a")), F.struct("b", F.col("m").alias("a")))).alias("e")).select("e.a", "e.b").filter("a < b").distinct()
-        stars = cut(small)
-        now = tuple(stars.agg(F.count("*"), F.sum(F.col("a").cast("decimal(38,0)")), F.sum(F.col("b").cast("decimal(38,0)"))).first())
-        if now == before:
-            return stars.select(F.col("b").alias("v"), F.col("a").alias("root"))
-        before = now
+        pair = lambda b: F.struct(F.col("m").alias("a"), F.col(b).alias("b"))
+        small = large.join(least, "b").select(F.explode(F.array(pair("a"), pair("b"))).alias("e")).select("e.a", "e.b").filter("a < b").distinct()
+        after, seen = _counted(small, n=F.count("*"), rows=F.bit_xor(F.xxhash64("a", "b")))
+        drop(stars)
+        if seen == before:
+            return after
+        stars, before = after, seen
+
+
+def labels(edges: DataFrame) -> DataFrame:
+    """v, root of every vertex of `edges` (a, b: a < b, distinct, non-null longs); one root for each group, any of its
+    vertices. Stored."""
+    spark = edges.sparkSession
+    # rounds have no join, and their partitions are sized by the edges counted in the round before: nothing is left to adapt
+    quiet, joins = apart(spark, adaptive_enabled=False), apart(spark, adaptive_enabled=True, autoBroadcastJoinThreshold=-1)
+    rest = first = moved(edges, quiet)
+    rounds, left = [], rest.count()
+    while left:
+        quiet.conf.set("spark.sql.shuffle.partitions", -(-left // PARTITION_EDGES))
+        made, n = _counted(_round(rest, len(rounds)), hung=F.expr("count_if(hung)"), left=F.expr("count_if(not hung)"))
+        rounds.append(made)
+        rest, left = made.filter("not hung").select("a", "b"), n["left"]
+        if not n["hung"]:
+            break
+    up = [moved(r, joins).filter("hung").select(F.col("a").alias("v"), F.col("b").alias("p")) for r in rounds]
+    if left:
+        core = _solve(moved(made, joins).filter("not hung").select("a", "b"))
+        rounds.append(core)
+        up.append(core.select(F.col("b").alias("v"), F.col("a").alias("p")))
+    depth, up = len(up), reduce(DataFrame.union, up, first.limit(0).toDF("v", "p"))
+    while depth > 1:
+        # pointers to the same vertex may be many: adaptive plans split them
+        over = up.select(F.col("v").alias("p"), F.col("p").alias("pp"))
+        up, old = stored(up.join(over, "p", "left").select("v", F.coalesce("pp", "p").alias("p"))), rounds
+        drop(*old)
+        rounds, depth = [up], (depth + 1) // 2
+    found = moved(up, spark)
+    return found.select("v", F.col("p").alias("root")).union(found.select("p", "p").distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:
     """v, root of every vertex of `edges` (a, b: distinct, a < b, non-null longs); root is the smallest vertex of the group."""
-    rest = cut(edges.select("a", "b"))
-    size = rest.count()
-    removed: list[DataFrame] = []
-    for _ in range(MAX_REDUCTIONS):
-        if not size:
-            break
-        hung, rest = _strip(rest)
-        chained, rest = _compress(rest)
-        rest = cut(rest)
-        removed += [hung, chained]
-        now = rest.count()
-        worth = size - now >= WORTHWHILE * size
-        size = now
-        if not worth:
-            break
-    if size:
-        found = _solve(rest)
-        found = found.union(found.select("root", "root").distinct())
-    else:
-        found = edges.sparkSession.createDataFrame([], "v long, root long")
-    for hung in reversed(removed):
-        # a parent without a label is the last vertex of a tree: it is its own root
-        up = hung.join(found.withColumnRenamed("v", "parent"), "parent", "left")
-        tops = up.filter("root is null").select(F.col("parent").alias("v"), F.col("parent").alias("root")).distinct()
-        found = cut(found.unionByName(tops).unionByName(up.select("v", F.coalesce("root", "parent").alias("root"))))
+    found = labels(edges)
     smallest = found.groupBy("root").agg(F.min("v").alias("least"))
     return found.join(smallest, "root").select("v", F.col("least").alias("root"))
 
@@ -136,15 +143,17 @@ def groups(pairs: DataFrame, min_pct: int = MIN_PCT) -> DataFrame:
 
     Self-links, null names, null or small pct make no link; repeated rows and both orders count once. No links: no rows.
     """
-    found = cut(links(pairs, min_pct))
-    names = found.select(F.explode(F.array("doc_a", "doc_b")).alias("name")).distinct().orderBy("name").select("name", F.monotonically_increasing_id().alias("id"))
-    names = cut(names)  # ids rise with the names: the sort is by code point
-    edges = (
-        found.join(names.select(F.col("name").alias("doc_a"), F.col("id").alias("a")), "doc_a")
-        .join(names.select(F.col("name").alias("doc_b"), F.col("id").alias("b")), "doc_b").select("a", "b")
-    )
-    roots = components(edges)
-    return (
-        roots.join(names.select(F.col("id").alias("v"), F.col("name").alias("doc_name")), "v")
-        .join(names.select(F.col("id").alias("root"), F.col("name").alias("group_name")), "root").select("doc_name", "group_name")
-    )
+    for seed in range(SEEDS):
+        code = lambda c: F.xxhash64(c, F.lit(seed))
+        found = links(pairs, min_pct)
+        ends = found.select(F.explode(F.array("doc_a", "doc_b")).alias("name")).groupBy(code("name").alias("v")).agg(F.min("name").alias("doc_name"), F.max("name").alias("other"))
+        names, seen = _counted(ends, clashes=F.expr("count_if(doc_name <> other)"))
+        if not seen["clashes"]:
+            break
+        drop(names)
+    else:
+        raise RuntimeError("the hashes of names clash for every seed")
+    edges = stored(found.select(*_edge(code("doc_a"), code("doc_b"))).distinct())
+    named = labels(edges).join(names, "v").select("doc_name", "root")
+    least = named.groupBy("root").agg(F.min("doc_name").alias("group_name"))
+    return named.join(least, "root").select("doc_name", "group_name")

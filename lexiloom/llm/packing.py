@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.session import cores, cut
+from lexiloom.session import cores, stored
 
 #: Items packed together, on average.
 GROUP_ITEMS = 5000
@@ -87,7 +87,7 @@ def packed(counts: DataFrame, limits: DataFrame, group_items: int = GROUP_ITEMS)
     if len(kinds) > MAX_LIMITS:
         raise ValueError(f"more than {MAX_LIMITS} container kinds")
     kinds = sorted((r["limit_name"], int(r["capacity"])) for r in kinds)
-    items = cut(counts.groupBy("doc_id").agg(F.max("tokens").alias("tokens")))
+    items = stored(counts.groupBy("doc_id").agg(F.max("tokens").alias("tokens")))
     groups = max(1, -(-items.count() // group_items))
     schema = "limit_name string, container string, doc_id long, piece int, start_token long, end_token long"
 
