@@ -49,3 +49,8 @@ JUNK = (
     "• zwei Hemden\n• eine Lampe\n• Seil, zehn Meter\n• Streichhölzer\n• ein Topf\n• Salz\n• Karte vom See\n• Socken",
     "The trip was short.\n(a) rope 10\n(b) torch\n(c) matches (dry)\n(d) pan / small\n(e) salt 2\n(f) map\n(g) socks, warm\n(h) key\n(i) coat",
 )
+
+#: Of the latter, pages of stuffed keywords, links, tags or products, and all others.
+_SPAM_AT = (7, 8, 9, 10, 11)
+SPAM = tuple(t for i, t in enumerate(JUNK) if i in _SPAM_AT)
+NO_SPAM = tuple(t for i, t in enumerate(JUNK) if i not in _SPAM_AT) + PROSE

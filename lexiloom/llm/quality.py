@@ -1,8 +1,9 @@
 """Problem 2: make-up statistics of each document, and prose told from lists, tables and junk by gradient-boosted trees.
 
-The trees are trained on the statistics of a bounded sample. Its labels are weak: documents whose lines are nearly all
-prose or nearly all structural junk, and mixtures of the two, whose share of junk is known. Their probabilities are then
-calibrated (Platt) on a hand-checked holdout.
+The trees see the statistics of textstats.py. They are trained on a bounded sample with weak labels that come from elsewhere:
+from the forms of its lines (forms.py, which says nothing where a text is neither nearly all prose nor nearly all junk), and
+from mixtures of a prose and a junk text whose shares are known. Their probabilities are then calibrated (Platt) on a
+hand-checked holdout (holdout.py) that takes no part in the training.
 """
 
 from __future__ import annotations
@@ -14,21 +15,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm import holdout
-from lexiloom.llm.codes import rows_of
+from lexiloom.llm import forms, holdout
+from lexiloom.llm.codes import batches, rows_of
 from lexiloom.llm.sampling import sample_texts
 from lexiloom.llm.textstats import AT, NAMES, Lexicon, statistics
 from lexiloom.session import spread
 
 #: The training sample: at most so many documents of at most so many characters.
 SAMPLE_DOCS, SAMPLE_CHARS = 3000, 20_000
-MIXTURES = 1500
+#: Mixtures of two texts of the sample, of at most so many characters each.
+MIXTURES, MIXTURE_CHARS = 1500, 4000
 #: A weakly labelled document is nearly all of its kind.
 WEAK = 0.9
 MIN_CHARS = 50
 #: Most words that the table of frequent words may have; it is sent to every task.
 MAX_WORDS = 100_000
-TREES, DEPTH, RATE, BINS = 60, 3, 0.2, 32
+#: Each tree sees a random COLUMNS of them.
+TREES, DEPTH, RATE, BINS, COLUMNS = 120, 4, 0.15, 32, 0.3
+#: Statistics that the trees see: all but the sizes of a text, in which mixtures differ from documents.
+SEEN = [i for n, i in AT.items() if n not in ("log_chars", "words")]
 
 
 class BoostedTrees:
@@ -40,15 +45,17 @@ class BoostedTrees:
         self.limits: list[np.ndarray] = []
         self.leaves: list[np.ndarray] = []
 
-    def fit(self, x: np.ndarray, y: np.ndarray, trees: int = TREES, rate: float = RATE, smooth: float = 1.0) -> BoostedTrees:
-        n, k = x.shape
-        edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(k)]
-        binned = np.stack([np.searchsorted(edges[f], x[:, f], side="right") for f in range(k)], axis=1)
-        offset = binned + np.arange(k) * BINS
+    def fit(self, x: np.ndarray, y: np.ndarray, trees: int = TREES, rate: float = RATE, smooth: float = 1.0, columns: float = 1.0, seed: int = 1) -> BoostedTrees:
+        rng, (n, every) = np.random.default_rng(seed), x.shape
+        k = max(1, int(columns * every))
+        edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(every)]
+        binned = np.stack([np.searchsorted(edges[f], x[:, f], side="right") for f in range(every)], axis=1)
         raw = np.zeros(n)
         for _ in range(trees):
             p = 1 / (1 + np.exp(-raw))
             g, h = y - p, p * (1 - p)
+            some = np.sort(rng.choice(every, k, replace=False))
+            offset = binned[:, some] + np.arange(k) * BINS
             node = np.zeros(n, dtype=np.int64)
             features, limits = np.zeros(2**self.depth - 1, dtype=np.int64), np.full(2**self.depth - 1, np.inf)
             for level in range(self.depth):
@@ -64,8 +71,8 @@ class BoostedTrees:
                     gain = gs**2 / (hs + smooth) + (total - gs) ** 2 / (weight - hs + smooth) - total**2 / (weight + smooth)
                     gain[:, -1] = 0
                     f, b = np.unravel_index(int(np.argmax(gain)), gain.shape)
-                    if gain[f, b] > 1e-6 and b < len(edges[f]):
-                        features[first + at], limits[first + at] = f, edges[f][b]
+                    if gain[f, b] > 1e-6 and b < len(edges[some[f]]):
+                        features[first + at], limits[first + at] = some[f], edges[some[f]][b]
                 right = x[np.arange(n), features[first + node]] >= limits[first + node]
                 node = 2 * node + right
             gs, hs = np.bincount(node, weights=g, minlength=2**self.depth), np.bincount(node, weights=h, minlength=2**self.depth)
@@ -126,42 +133,53 @@ class Judge:
         self.trees, self.slope, self.offset = trees, slope, offset
 
     def junk_probability(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.trees.raw(x) + self.offset, -30, 30)))
-
-
-def train(texts: list[str], lexicon: Lexicon, mixtures: int = MIXTURES, seed: int = 7) -> Judge:
-    rng = np.random.default_rng(seed)
-    texts = [t for t in texts if t and t.strip()] + list(holdout.PROSE[:2]) * 5 + list(holdout.JUNK[:2]) * 5
-    vectors = np.array([statistics(t, lexicon)[0] for t in texts])
-    prose_share = vectors[:, AT["prose"]] + vectors[:, AT["heading"]]
-    prose, junk = np.flatnonzero(prose_share >= WEAK), np.flatnonzero(vectors[:, AT["prose"]] <= 1 - WEAK)
-    rows, labels = [vectors[prose], vectors[junk]], [np.zeros(len(prose)), np.ones(len(junk))]
-    mixed, known = [], []
-    for _ in range(min(mixtures, 2 * len(texts)) if len(prose) and len(junk) else 0):
-        share = rng.uniform(0.1, 0.9)
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.trees.raw(x[:, SEEN]) + self.offset, -30, 30)))
+
+
+def weak_labels(texts: list[str], words: list[tuple[str, str]]) -> np.ndarray:
+    """0 for a text whose lines are nearly all prose, 1 where nearly none is, NaN where the lines' forms leave it open."""
+    known = forms.Lexicon(words)
+    found = np.array([forms.statistics(t, known)[0] for t in texts]).reshape(len(texts), len(forms.NAMES))
+    prose, heading = found[:, forms.AT["prose"]], found[:, forms.AT["heading"]]
+    return np.where(prose + heading >= WEAK, 0.0, np.where(prose <= 1 - WEAK, 1.0, np.nan))
+
+
+def mix(good: list[str], bad: list[str], most: int, rng: np.random.Generator) -> tuple[list[str], list[float]]:
+    """Texts of a part of a prose text and a part of a junk text, and whether the junk is longer."""
+    texts, labels = [], []
+    for share in rng.uniform(0.1, 0.9, most) if good and bad else ():
         if abs(share - 0.5) < 0.04:
             continue
-        good, bad = texts[rng.choice(prose)], texts[rng.choice(junk)]
-        size = int(min(len(good) / (1 - share), len(bad) / share, 4000))
-        a, b = _part(good, int(size * (1 - share))), _part(bad, int(size * share))
-        if not a or not b:
-            continue
-        text = "\n\n".join((a, b) if rng.random() < 0.5 else (b, a))
-        mixed.append(statistics(text, lexicon)[0])
-        known.append(float(len(b) > len(a)))
-    if mixed:
-        rows.append(np.array(mixed))
-        labels.append(np.array(known))
-    trees = BoostedTrees().fit(np.concatenate(rows), np.concatenate(labels))
-    checked = np.array([statistics(t, lexicon)[0] for t in holdout.PROSE + holdout.JUNK])
-    return Judge(trees, *platt(trees.raw(checked), np.repeat([0.0, 1.0], [len(holdout.PROSE), len(holdout.JUNK)])))
-
-
-def read_lexicon(common_words: DataFrame) -> Lexicon:
+        a, b = good[rng.integers(len(good))], bad[rng.integers(len(bad))]
+        size = int(min(len(a) / (1 - share), len(b) / share, MIXTURE_CHARS))
+        a, b = _part(a, int(size * (1 - share))), _part(b, int(size * share))
+        if a and b:
+            texts.append("\n\n".join((a, b) if rng.random() < 0.5 else (b, a)))
+            labels.append(float(len(b) > len(a)))
+    return texts, labels
+
+
+def train(texts: list[str], words: list[tuple[str, str]], mixtures: int = MIXTURES, seed: int = 7) -> Judge:
+    """Without a weakly labelled text of either kind nothing can be learned: every probability is then that of a coin."""
+    texts = [t for t in texts if t and t.strip()]
+    lexicon, weak = Lexicon(words), weak_labels(texts, words)
+    good, bad = [t for t, y in zip(texts, weak) if y == 0], [t for t, y in zip(texts, weak) if y == 1]
+    mixed, known = mix(good, bad, min(mixtures, 2 * len(texts)), np.random.default_rng(seed))
+    x = statistics(good + bad + mixed, lexicon)[0]
+    y = np.array([0.0] * len(good) + [1.0] * len(bad) + known)
+    trees = BoostedTrees()
+    if good and bad:
+        trees.fit(x[:, SEEN], y, columns=COLUMNS)
+    checked = statistics(list(holdout.PROSE + holdout.JUNK), lexicon)[0]
+    return Judge(trees, *platt(trees.raw(checked[:, SEEN]), np.repeat([0.0, 1.0], [len(holdout.PROSE), len(holdout.JUNK)])))
+
+
+def read_words(common_words: DataFrame) -> list[tuple[str, str]]:
+    """The (language, word) rows of the table of frequent words."""
     rows = common_words.select("lang", "word").filter("lang is not null and word is not null").distinct().limit(MAX_WORDS + 1).collect()
     if len(rows) > MAX_WORDS:
         raise ValueError(f"more than {MAX_WORDS} frequent words")
-    return Lexicon(sorted((r["lang"], r["word"]) for r in rows))
+    return sorted((r["lang"], r["word"]) for r in rows)
 
 
 def make_up(documents: DataFrame, common_words: DataFrame) -> DataFrame:
@@ -171,22 +189,21 @@ def make_up(documents: DataFrame, common_words: DataFrame) -> DataFrame:
     words, whatever the column lang says. Repeated rows stay repeated; other columns are ignored.
     """
     documents = documents.select("doc_id", "text")
-    lexicon = read_lexicon(common_words)
-    shared = documents.sparkSession.sparkContext.broadcast((lexicon, train(sample_texts(documents, SAMPLE_DOCS, MIN_CHARS, SAMPLE_CHARS), lexicon)))
+    words = read_words(common_words)
+    judge = train(sample_texts(documents, SAMPLE_DOCS, MIN_CHARS, SAMPLE_CHARS), words)
+    shared = documents.sparkSession.sparkContext.broadcast((words, judge))
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, judge = shared.value
-        for batch in stream:
-            for at in range(0, batch.num_rows, 1000):
-                rows = list(rows_of([batch.slice(at, 1000)]))
-                found = [statistics(t, words) for _, t in rows]
-                x = np.array([v for v, _ in found])
-                blank = np.array([not (t and t.strip()) for _, t in rows])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k for k, _ in rows], pa.int64()), pa.array([len(t or "") for _, t in rows], pa.int64()), pa.array([lang or None for _, lang in found], pa.string())]
-                    + [pa.array(x[:, i]) for i in range(len(NAMES))] + [pa.array(judge.junk_probability(x), mask=blank)],
-                    ["doc_id", "n_chars", "language", *NAMES, "junk_probability"],
-                )
+        known, judge = shared.value
+        lexicon = Lexicon(known)
+        for rows in batches(rows_of(stream)):
+            texts = [t or "" for _, t in rows]
+            x, langs = statistics(texts, lexicon)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k for k, _ in rows], pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([lang or None for lang in langs], pa.string())]
+                + [pa.array(x[:, i]) for i in range(len(NAMES))] + [pa.array(judge.junk_probability(x), mask=np.array([not t.strip() for t in texts]))],
+                ["doc_id", "n_chars", "language", *NAMES, "junk_probability"],
+            )
 
     return spread(documents).mapInArrow(run, "doc_id long, n_chars long, language string, " + ", ".join(f"`{n}` double" for n in NAMES) + ", junk_probability double")
 

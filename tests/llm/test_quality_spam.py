@@ -3,8 +3,8 @@ import random
 import numpy as np
 import pytest
 
-from lexiloom.llm import holdout, quality, spam
-from lexiloom.llm.textstats import AT, Lexicon, statistics
+from lexiloom.llm import forms, holdout, quality, spam
+from lexiloom.llm.textstats import AT, NAMES, Lexicon, statistics
 
 # A few frequent words by language.
 WORDS = [("en", w) for w in "the of and to in a is that for it was on with as by at from this not but".split()] + [("de", w) for w in "die der das und in zu den ist nicht von mit".split()] + [("zh", w) for w in "的 了 在 是 和".split()] + [("th", w) for w in "ใน ของ และ ที่ การ".split()]
@@ -64,16 +64,32 @@ def frames(spark, texts):
     return documents, spark.createDataFrame([*WORDS, (None, "x"), ("en", None), ("en", "the")], "lang string, word string")
 
 
-def test_shares_of_line_kinds(lexicon):
-    rng = random.Random(1)
+def test_forms_of_lines():
+    rng, known = random.Random(1), forms.Lexicon(WORDS)
     for make, kind in ((stuffed, "keywords"), (links, "link"), (tags, "tags"), (listed, "list"), (rows, "table"), (contents, "leader"), (prose, "prose")):
-        v, _ = statistics(make(rng), lexicon)
-        assert v[AT[kind]] > 0.9, (kind, make)
+        v, _ = forms.statistics(make(rng), known)
+        assert v[forms.AT[kind]] > 0.9, (kind, make)
     once = "Lund 4711 The clerk of the mill sold the old loom in winter. "
-    assert statistics(once * 30, lexicon)[0][AT["prose"]] == 1  # repetitive prose
-    for empty in (None, "", " \n "):
-        v, lang = statistics(empty, lexicon)
-        assert not v.any() and lang == ""
+    assert forms.statistics(once * 30, known)[0][forms.AT["prose"]] == 1  # repetitive prose
+
+
+def test_statistics_by_hand(lexicon):
+    """Two lines counted by hand; the texts beside them, and a long text in pieces, change nothing."""
+    text = "  The clerk of the mill sold 12 looms.\n\nred, blue, red, green\n"
+    (v,), (lang,) = statistics([text], lexicon)
+    first, second = len("The clerk of the mill sold 12 looms."), len("red, blue, red, green")
+    total = first + second
+    assert lang == "en" and v[AT["words"]] == 12 and np.isclose(v[AT["log_chars"]], np.log10(total))
+    assert np.isclose(v[AT["ended"]], first / total) and np.isclose(v[AT["digits"]], 2 / total) and np.isclose(v[AT["symbols"]], 4 / total)
+    assert np.isclose(v[AT["common"]], 3 / 12) and np.isclose(v[AT["type_ratio"]], 10 / 12) and np.isclose(v[AT["commas"]], 3 / 12)
+    assert np.isclose(v[AT["many_items"]], second / total) and np.isclose(sum(v[AT[n]] for n in NAMES if n.startswith("words") and n != "words"), 1)
+    assert np.isclose(v[AT["words10_ended_common"]], first / total)
+    others = [None, "", " \n ", prose(random.Random(8)), text, "İstanbul \ud800 x", links(random.Random(8))]
+    many, langs = statistics(others, lexicon)
+    assert np.allclose(many[4], v) and not many[:3].any() and langs[:3] == ["", "", ""] and np.isfinite(many).all()
+    long = prose(random.Random(2)) * 30
+    whole, cut = statistics([long], lexicon)[0][0], statistics([long], lexicon, piece=2000)[0][0]
+    assert abs(whole[AT["common"]] - cut[AT["common"]]) < 0.01 and abs(whole[AT["ended"]] - cut[AT["ended"]]) < 0.05
 
 
 def test_boosted_trees_and_calibration():
@@ -86,17 +102,60 @@ def test_boosted_trees_and_calibration():
     assert slope > 0 and offset < -0.5 and 0 < slope * 3 + offset  # the border moves from 0 towards 2.5
 
 
-def test_held_out_quality(lexicon):
-    judge = quality.train([t for _, t, _ in corpus(400, 2)], lexicon, mixtures=300)
+def logged(rng):
+    return "\n".join(f"{rng.randint(10, 23)}:{rng.randint(10, 59)} {rng.choice(NOUNS)} {rng.choice('up down idle'.split())} id={rng.randint(100, 999)}" for _ in range(20))
+
+
+def variants(rng):
+    """One Japanese phrase with ever other names."""
+    return ", ".join(f"古い倉庫 方言の辞書 {rng.choice('Vad Tam Quen Osts Ulp Hol'.split())}{rng.choice('risk mel daul pault gova'.split())}{rng.randint(1, 99)}" for _ in range(25))
+
+
+def moves(rng):
+    return " ".join(f"{i}. {rng.choice('NBRQ')}{rng.choice('abcdefgh')}{rng.randint(1, 8)} {rng.choice('abcdefgh')}{rng.randint(1, 8)}" for i in range(1, 50))
+
+
+def fields(rng):
+    return "\n".join(f"{rng.choice(NOUNS)} of {rng.choice(NOUNS)} = {rng.choice(NOUNS)} {rng.randint(1, 99)} ({rng.choice(NOUNS)})" for _ in range(20))
+
+
+@pytest.fixture(scope="module")
+def judge():
+    return quality.train([t for _, t, _ in corpus(600, 2)], WORDS, mixtures=400)
+
+
+def test_held_out_quality(judge, lexicon):
     test = corpus(200, 3)
-    p = judge.junk_probability(np.array([statistics(t, lexicon)[0] for _, t, _ in test]))
+    p = judge.junk_probability(statistics([t for _, t, _ in test], lexicon)[0])
     assert np.mean((p >= 0.5) == [m is not prose for _, _, m in test]) >= 0.97
     rng = random.Random(4)
-    mostly = [prose(rng) + "\n\n" + listed(rng)[:60], listed(rng) + "\n\n" + sentence(rng)]
-    p = judge.junk_probability(np.array([statistics(t, lexicon)[0] for t in mostly]))
+    p = judge.junk_probability(statistics([prose(rng) + "\n\n" + listed(rng)[:60], listed(rng) + "\n\n" + sentence(rng)], lexicon)[0])
     assert p[0] < 0.5 < p[1]
 
 
+def test_trees_beat_the_forms_on_unseen_layouts(judge, lexicon):
+    """Layouts that neither the rules of forms.py nor the training texts know."""
+    rng, known = random.Random(6), forms.Lexicon(WORDS)
+    texts = [m(rng) for m in (logged, variants, moves, fields) for _ in range(10)] + [prose(rng) for _ in range(40)]
+    junk = np.repeat([True, False], 40)
+    trees = judge.junk_probability(statistics(texts, lexicon)[0]) >= 0.5
+    rule = np.array([forms.statistics(t, known)[0][forms.AT["prose"]] < 0.5 for t in texts])
+    assert (trees != rule).any()
+    assert (trees == junk).mean() > (rule == junk).mean() and (trees == junk).mean() >= 0.9, ((trees == junk).mean(), (rule == junk).mean())
+
+
+def test_calibration_on_texts_it_has_not_seen(judge, lexicon):
+    """The holdout is not among the training texts; left out one by one, its calibrated probabilities are better than raw ones."""
+    texts, y = list(holdout.PROSE + holdout.JUNK), np.repeat([0.0, 1.0], [len(holdout.PROSE), len(holdout.JUNK)])
+    raw = judge.trees.raw(statistics(texts, lexicon)[0][:, quality.SEEN])
+    brier = []
+    for i in range(len(texts)):
+        rest = np.arange(len(texts)) != i
+        a, b = quality.platt(raw[rest], y[rest])
+        brier.append((1 / (1 + np.exp(-(a * raw[i] + b))) - y[i]) ** 2)
+    assert np.mean(brier) < 0.2
+
+
 def test_holdout_is_two_sided():
     assert len(holdout.PROSE) == len(set(holdout.PROSE)) >= 15 and len(holdout.JUNK) == len(set(holdout.JUNK)) >= 15
 
@@ -125,6 +184,16 @@ def test_spam_rows(spark):
 
 
 def test_distance_is_mahalanobis():
-    centre, s = np.zeros(5), np.diag([4.0, 1, 1, 1, 1])
-    d, _, _ = spam.judge(np.array([[2.0, 0, 0, 0, 0], [0, 3, 0, 0, 0]]), centre, np.linalg.inv(s))
-    assert np.allclose(d, [1, 3])
+    known = {"": (np.zeros(10), np.linalg.inv(np.diag([4.0] + [1.0] * 9)))}
+    x = np.zeros((2, 10))
+    x[0, 0], x[1, 1] = 2, 3
+    assert np.allclose(np.linalg.norm(spam.whitened(x, np.array(["", "en"], dtype=object), known), axis=1), [1, 3])
+
+
+def test_distance_decides(spark):
+    """Without the distance other rows would come out; and no coordinate has a scale of 0 in a language."""
+    documents, words = frames(spark, [(k, t) for k, t, _ in corpus(360, 6)])
+    rows = spam.judged(documents, words).collect()
+    assert {r["doc_id"] for r in rows if r["is_spam"]} != {r["doc_id"] for r in rows if r["spam_side"] > 0}
+    known = spam.scatter(spam.points(documents, quality.read_words(words)))
+    assert all(np.isfinite(i).all() and (np.linalg.eigvalsh(i) > 0).all() for _, i in known.values())
