@@ -31,11 +31,11 @@ def p3_groups(spark, d):
 
 
 def p4_found(spark, d):
-    return spans.shared_runs(table(spark, d, "documents"))
+    return spans.shared_runs(table(spark, d, "documents"), table(spark, d, "sentence_matches"))
 
 
 def p4_share(spark, d):
-    return spans.shared_share(table(spark, d, "documents"))
+    return spans.shared_share(table(spark, d, "documents"), recorded=table(spark, d, "sentence_matches"))
 
 
 def p5_found(spark, d):

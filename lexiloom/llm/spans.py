@@ -4,13 +4,14 @@ A character is shared if it lies in a stretch of SPAN characters that another re
 
 1. Passages: of all strings of PASSAGE characters inside each stretch of SPAN, the one with the smallest hash is the
    stretch's passage. Equal stretches have the same passage, so a passage recurs in two records if a stretch does. One pass
-   gives each record's passages with the range of stretches they stand for; an aggregation confirms those that recur.
-2. The text around each recurring passage (all its stretches) goes to the shard of the passage's hash.
-3. A shard compiles the confirmed passages of a bounded part of its hashes into an Aho-Corasick automaton and streams the
-   texts of that part through it: this locates every occurrence, exactly. The stretches around the occurrences are compared
-   by rolling hashes; those of two or more records are shared.
-4. A passage of more than HOT_PASSAGE occurrences is no task's group: its stretches are aggregated by Spark, with partial
-   aggregation before the exchange.
+   lists each record's passages, and an aggregation confirms those that recur. Recorded sentence matches are confirmed
+   passages too.
+2. Shards: the passages of one record (the smallest that has them) are in one shard. A record is streamed to the shards that
+   have a passage of it; no other record can contain a shared stretch with one of theirs. A shard that more than SHARD_CHARS of
+   text are streamed to is dealt to several tasks, each with all of its passages.
+3. A task compiles its shard's passages into an Aho-Corasick automaton and streams whole texts through it: its hits are the
+   occurrences. The stretches that contain a hit are compared by rolling hashes; those of two or more records are shared.
+4. What the tasks of one shard have found in one record each, an aggregation compares over all of them.
 5. The shared stretches of each record are united into runs.
 
 Whole copies are found first by a hash of the text, and only one of them is taken through 2 and 3.
@@ -32,10 +33,10 @@ from lexiloom.session import cores, spread, stored
 SPAN = 200
 #: Characters of a passage. Longer: fewer chance recurrences; shorter: fewer passages.
 PASSAGE = 80
-#: Occurrences of a passage up to which they are compared in one task.
-HOT_PASSAGE = 5000
-#: Characters of text whose passages make one automaton.
-SHARD_CHARS = 1_000_000
+#: Passages of a shard, on average, and characters of text that a task streams through its automaton.
+SHARD_PASSAGES, SHARD_CHARS = 5000, 2_000_000
+#: The passages of a record of more than so many characters go to several shards, by their place.
+OWN_CHARS = 100_000
 #: Copies of a text that a task remembers, to take only one further.
 SEEN = 200_000
 
@@ -101,52 +102,112 @@ def _marks(documents: DataFrame, span: int, passage: int) -> DataFrame:
     return spread(documents.filter(F.length("text") >= span)).mapInArrow(run, "doc_id long, text_hash long, n_chars int, found array<struct<hash:long,pos:int,lo:int,hi:int>>")
 
 
-def shared_stretches(hashes: np.ndarray, docs: np.ndarray, starts: np.ndarray, texts: list[str], offsets: np.ndarray, span: int, passage: int) -> tuple[np.ndarray, np.ndarray]:
-    """(record, start) of the stretches in `texts` that two or more records have. `starts` is the place of a text in its
-    record, `offsets` the place of its passage in the text; equal hashes are together."""
-    first: dict[int, str] = {}
-    for h, t, o in zip(hashes.tolist(), texts, offsets.tolist()):
-        first.setdefault(h, t[o : o + passage])
-    automaton = ahocorasick.Automaton()
-    for phrase in first.values():
-        automaton.add_word(phrase, len(phrase))
-    automaton.make_automaton()
-    at = [[end - size + 1 for end, size in automaton.iter(t)] for t in texts]
-    codes, begin, part = joined([code_points(t) for t in texts])
-    inside = np.zeros(len(codes) + 1, dtype=np.int64)  # stretches that contain a located passage whole
-    places = np.concatenate([np.array(x, dtype=np.int64) + b for x, b in zip(at, begin)]) if at else np.empty(0, np.int64)
-    np.add.at(inside, np.maximum(places - (span - passage), begin[part[places]]), 1)
-    np.add.at(inside, places + 1, -1)
-    covers = np.cumsum(inside[:-1]) > 0
-    n = len(codes) - span + 1
-    if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    stretch = rolling(codes, span)
-    where = np.flatnonzero((part[:n] == part[span - 1 :]) & covers[:n])
-    value, doc = stretch[where], docs[part[where]]
-    order = np.argsort(value, kind="stable")
-    value, doc = value[order], doc[order]
-    head = np.flatnonzero(np.append(True, value[1:] != value[:-1])) if len(value) else np.empty(0, np.int64)
-    if not len(head):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    two = np.minimum.reduceat(doc, head) != np.maximum.reduceat(doc, head)
-    hit = where[order[np.repeat(two, np.diff(np.append(head, len(value))))]]
-    return docs[part[hit]], starts[part[hit]] + hit - begin[part[hit]]
-
-
-def _pieces(stream: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
-    """The text around each passage of each record: cut from a Python string, whose characters need no walk from the start."""
-    names = ["hash", "doc_id", "start", "at", "piece"]
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string())
+def automaton(phrases: list[str]) -> ahocorasick.Automaton:
+    made = ahocorasick.Automaton()
+    for phrase in phrases:
+        if phrase:
+            made.add_word(phrase, len(phrase))
+    made.make_automaton()
+    return made
+
+
+def occurrences(made: ahocorasick.Automaton, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of all occurrences of the automaton's phrases in a text, overlapping ones too."""
+    found = made.iter(text) if len(made) else ()
+    hits = np.array([(end - size + 1, size) for end, size in found], dtype=np.int64).reshape(-1, 2)
+    return hits[:, 0], hits[:, 1]
+
+
+def candidates(made: ahocorasick.Automaton, text: str, span: int) -> np.ndarray:
+    """Starts of the stretches of a text that contain an occurrence (or lie inside one that is longer)."""
+    n = len(text) - span + 1
+    at, size = occurrences(made, text)
+    if n <= 0 or not len(at):
+        return np.empty(0, np.int64)
+    other = at + size - span
+    low, high = np.maximum(np.minimum(at, other), 0), np.minimum(np.maximum(at, other), n - 1) + 1
+    keep = low < high
+    edge = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(edge, low[keep], 1)
+    np.add.at(edge, high[keep], -1)
+    return np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+
+
+class Shard:
+    """The stretches of one task's texts around its automaton's hits."""
+
+    def __init__(self, span: int):
+        self.span, self.phrases, self.made = span, [], None
+        self.values, self.docs, self.starts = [], [], []
+
+    def add(self, doc: int, text: str) -> None:
+        if self.made is None:
+            self.made = automaton(self.phrases)
+        at = candidates(self.made, text, self.span)
+        if len(at):
+            self.values.append(rolling(code_points(text), self.span)[at])
+            self.docs.append(np.full(len(at), doc, dtype=np.int64))
+            self.starts.append(at)
+
+    def found(self, whole: bool) -> pa.RecordBatch:
+        """Stretches of two records as runs; unless the task has the whole shard, also each stretch's hash with the smallest
+        and largest record (start null), and the places of the stretches of one record only."""
+        none = np.empty(0, np.int64)
+        value, doc, start = (np.concatenate(x) if x else none for x in (self.values, self.docs, self.starts))
+        order = np.argsort(value, kind="stable")
+        value, doc, start = value[order].astype(np.uint64).view(np.int64), doc[order], start[order]
+        head = np.flatnonzero(np.append(True, value[1:] != value[:-1])) if len(value) else none
+        low, high = (np.minimum.reduceat(doc, head), np.maximum.reduceat(doc, head)) if len(head) else (none, none)
+        two = np.repeat(low != high, np.diff(np.append(head, len(value))))
+        runs = _intervals(doc[two], start[two], self.span)
+        parts = [pa.RecordBatch.from_arrays([*runs.columns, *(pa.nulls(runs.num_rows, pa.int64()),) * 2], FOUND)]
+        if not whole:
+            empty = lambda n: pa.nulls(n, pa.int64())
+            parts.append(pa.RecordBatch.from_arrays([pa.array(low), empty(len(head)), empty(len(head)), pa.array(value[head]), pa.array(high)], FOUND))
+            parts.append(pa.RecordBatch.from_arrays([pa.array(doc[~two]), pa.array(start[~two]), pa.array(start[~two] + self.span), pa.array(value[~two]), empty(int((~two).sum()))], FOUND))
+        return pa.Table.from_batches(parts).combine_chunks().to_batches()
+
+
+#: Rows of a shard's result: runs (value null); hashes of stretches (start null); stretches of one record.
+FOUND = ["doc_id", "start_pos", "end_pos", "value", "other"]
+
+
+def _stream(stream: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, part, parts, doc_id, body) sorted by shard, part and doc_id: passages (doc_id null) before texts."""
+    now, work, whole = None, None, True
+    for batch in stream:
+        for at in range(0, batch.num_rows, 256):
+            piece = batch.slice(at, 256)
+            for shard, part, parts, doc, body in zip(*(piece.column(c).to_pylist() for c in ("shard", "part", "parts", "doc_id", "body"))):
+                if (shard, part) != now:
+                    if work:
+                        yield from work.found(whole)
+                    now, work, whole = (shard, part), Shard(span), parts == 1
+                if doc is None:
+                    work.phrases.append(body)
+                else:
+                    work.add(doc, body)
+    if work:
+        yield from work.found(whole)
+
+
+def _sent(stream: Iterator[pa.RecordBatch], passage: int) -> Iterator[pa.RecordBatch]:
+    """Of each record: its text for each shard that it goes to, and the passages that are cut from it."""
+    names, kinds = ["shard", "part", "parts", "doc_id", "body"], (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string())
     rows: list[tuple] = []
+    size = 0
     for batch in stream:
         for k in range(batch.num_rows):
             doc, text = batch.column("doc_id")[k].as_py(), batch.column("text")[k].as_py() or ""
-            for f in batch.column("found")[k].as_py():
-                rows.append((f["hash"], doc, f["lo"], f["pos"] - f["lo"], text[f["lo"] : f["hi"] + span]))
-                if len(rows) >= 2000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
-                    rows = []
+            for g in batch.column("goes")[k].as_py():
+                rows.append((g["shard"], g["part"], g["parts"], doc, text))
+                size += len(text)
+                for p in g["cut"] or ():
+                    rows += [(g["shard"], part, g["parts"], None, text[p : p + passage]) for part in range(g["parts"])]
+                    size += passage * g["parts"]
+            if size >= 4_000_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+                rows, size = [], 0
     if rows:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
@@ -161,11 +222,13 @@ def _intervals(doc: np.ndarray, start: np.ndarray, span: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(doc[head], pa.int64()), pa.array(start[head], pa.int64()), pa.array(start[tail] + span, pa.int64())], ["doc_id", "start_pos", "end_pos"])
 
 
-def shared_runs(documents: DataFrame, span: int = SPAN, passage: int = PASSAGE, hot: int = HOT_PASSAGE, shard_chars: int = SHARD_CHARS) -> DataFrame:
+def shared_runs(documents: DataFrame, recorded: DataFrame | None = None, span: int = SPAN, passage: int = PASSAGE, shard_passages: int = SHARD_PASSAGES, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """doc_id, start_pos, end_pos: every longest run of shared characters, in code points of the text as it stands.
 
-    Null and short texts have none. A doc_id that comes twice with one text is one record; with different texts the runs of
-    both are united. Other columns are ignored.
+    recorded: sentence matches (doc_id, other_id, sentence_a); sentences of `passage` characters or more are looked for in both
+    records like other passages, shorter ones, null ones and unknown records are left out. Null and short texts share nothing. A
+    doc_id that comes twice with one text is one record; with different texts the runs of both are united. Other columns are
+    ignored.
     """
     spark = documents.sparkSession
     documents = documents.select("doc_id", "text").filter("doc_id is not null")
@@ -173,45 +236,39 @@ def shared_runs(documents: DataFrame, span: int = SPAN, passage: int = PASSAGE,
     copies = marks.groupBy("text_hash").agg(F.min("doc_id").alias("one"), F.max("doc_id").alias("other")).filter("one <> other").select("text_hash")
     whole = marks.join(copies, "text_hash", "left_semi").select("doc_id", F.lit(0).cast("long").alias("start_pos"), F.col("n_chars").cast("long").alias("end_pos"))
 
-    each = marks.filter("found is not null").select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.*")
-    recurring = each.groupBy("hash").agg(F.min("doc_id").alias("one"), F.max("doc_id").alias("other"), F.count("*").alias("n")).filter("one <> other").select("hash", (F.col("n") > hot).alias("is_hot"))
-
-    def around(which: str) -> DataFrame:
-        """The texts around the recurring passages of one kind; an empty kind costs no pass over the texts (adaptive plans)."""
-        of_doc = each.join(recurring.filter(which).select("hash"), "hash").groupBy("doc_id").agg(F.collect_list(F.struct("hash", "pos", "lo", "hi")).alias("found"))
-        return of_doc.join(documents, "doc_id").select("doc_id", "text", "found").mapInArrow(lambda s: _pieces(s, span), "hash long, doc_id long, start int, at int, piece string")
+    # passages that recur, and the first place of each
+    each = marks.filter("found is not null").select("doc_id", "n_chars", F.explode("found").alias("f")).select("doc_id", "n_chars", "f.hash", "f.pos")
+    recurring = each.groupBy("hash").agg(F.min(F.struct("doc_id", "pos")).alias("own"), F.max("doc_id").alias("other")).filter("own.doc_id <> other")
+    recurring = stored(recurring.select("hash", "own.doc_id", "own.pos"))
+    shards = max(1, -(-recurring.count() // shard_passages))
+    shard_of = lambda doc, pos: F.pmod(F.xxhash64(doc, F.floor(pos / OWN_CHARS)), F.lit(shards))
+    of_hash = recurring.select("hash", F.col("doc_id").alias("own"), F.col("pos").alias("own_pos"), shard_of(F.col("doc_id"), F.col("pos")).alias("shard"))
+    none = F.lit(None).cast("int")
+    visits = each.join(of_hash, "hash").select("doc_id", "n_chars", "shard", F.when((F.col("doc_id") == F.col("own")) & (F.col("pos") == F.col("own_pos")), F.col("pos")).alias("cut"))
+    sentences = None
+    if recorded is not None:
+        s = recorded.select(F.col("doc_id").alias("x"), F.col("other_id").alias("y"), F.trim("sentence_a").alias("body"))
+        s = s.filter((F.length("body") >= passage) & F.col("x").isNotNull() & F.col("y").isNotNull()).distinct()
+        sentences = s.select("x", "y", "body", shard_of(F.least("x", "y"), F.lit(0)).alias("shard"))
+        there = marks.filter("found is not null").select("doc_id", "n_chars")
+        visits = visits.union(sentences.select(F.explode(F.array("x", "y")).alias("doc_id"), "shard").distinct().join(there, "doc_id").select("doc_id", "n_chars", "shard", none))
+    visits = stored(visits.groupBy("doc_id", "shard").agg(F.max("n_chars").alias("n_chars"), F.collect_set("cut").alias("cut")))
+    parts = visits.groupBy("shard").agg(F.ceil(F.sum("n_chars") / shard_chars).cast("int").alias("parts"))
+    goes = visits.join(parts, "shard").select("doc_id", F.struct("shard", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"), "parts", "cut").alias("g"))
+    goes = goes.groupBy("doc_id").agg(F.collect_list("g").alias("goes"))
+    kind = "shard long, part int, parts int, doc_id long, body string"
+    sent = goes.join(documents, "doc_id").select("doc_id", "text", "goes").mapInArrow(lambda x: _sent(x, passage), kind)
+    if sentences is not None:
+        more = sentences.select("shard", "body").distinct().join(parts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "parts", F.lit(None).cast("long").alias("doc_id"), "body")
+        sent = sent.union(more)
 
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), cores(spark))
-
-    def shard(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
-
-        def work(t: pa.Table) -> pa.RecordBatch:
-            hashes, docs, start, at = (t.column(c).to_numpy().astype(np.int64) for c in ("hash", "doc_id", "start", "at"))
-            return _intervals(*shared_stretches(hashes, docs, start, t.column("piece").to_pylist(), at, span, passage), span)
-
-        for batch in stream:
-            for k in range(0, batch.num_rows, 1000):
-                held.append(batch.slice(k, 1000))
-                size += held[-1].num_rows * (2 * span - passage)
-                if size >= shard_chars:
-                    table = pa.Table.from_batches(held)
-                    key = table.column("hash").to_numpy()
-                    whole_groups = int(np.flatnonzero(np.append(True, key[1:] != key[:-1]))[-1])
-                    if whole_groups:
-                        yield work(table.slice(0, whole_groups).combine_chunks())
-                        held = table.slice(whole_groups).combine_chunks().to_batches()
-                        size = sum(b.num_rows for b in held) * (2 * span - passage)
-        if held:
-            yield work(pa.Table.from_batches(held).combine_chunks())
-
-    schema = "doc_id long, start_pos long, end_pos long"
-    cold = around("not is_hot").repartition(tasks, "hash").sortWithinPartitions("hash").mapInArrow(shard, schema)
-    windows = around("is_hot").select("doc_id", "start", "piece", F.explode(F.sequence(F.lit(0), F.length("piece") - span)).alias("i")).select("doc_id", (F.col("start") + F.col("i")).cast("long").alias("start_pos"), F.xxhash64(F.substring("piece", F.col("i") + 1, F.lit(span))).alias("w"))
-    common = windows.groupBy("w").agg(F.min("doc_id").alias("one"), F.max("doc_id").alias("other")).filter("one <> other").select("w")
-    warm = windows.join(common, "w", "left_semi").select("doc_id", "start_pos", (F.col("start_pos") + span).alias("end_pos"))
-    return _united(whole.unionByName(cold).unionByName(warm))
+    found = sent.repartition(tasks, "shard", "part").sortWithinPartitions("shard", "part", "doc_id").mapInArrow(lambda x: _stream(x, span), "doc_id long, start_pos long, end_pos long, value long, other long")
+    found = stored(found)
+    runs = found.filter("value is null").select("doc_id", "start_pos", "end_pos")
+    common = found.filter("value is not null and start_pos is null").groupBy("value").agg(F.min("doc_id").alias("one"), F.max("other").alias("two")).filter("one <> two").select("value")
+    across = found.filter("value is not null and start_pos is not null").join(common, "value", "left_semi").select("doc_id", "start_pos", "end_pos")
+    return _united(whole.unionByName(runs).unionByName(across))
 
 
 def _united(runs: DataFrame) -> DataFrame:
