@@ -36,7 +36,7 @@ PRIOR_DOCS, LEAST_EIGEN = 200, 0.1
 #: Weakly labelled outliers that the plane is fitted on, on average, and the share of the text that must be (or not be) spam.
 SAMPLE_OUTLIERS, SURE = 5000, 0.1
 #: Weight of the prior of the plane; relative error of the quantile sketches is its inverse.
-PRIOR, ACCURACY = 0.01, 2000
+PRIOR, ACCURACY = 0.01, 200
 #: Forms of lines that are spam.
 SPAM_FORMS = ("link", "product", "tags", "keywords")
 
