@@ -24,11 +24,11 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from lexiloom.llm.codes import batches, code_points, joined, mix, rolling, rows_of
-from lexiloom.session import cores, spread, stored
+from lexiloom.session import cores, drop, spread, stored
 
 SPAN = 200
 #: Characters of a passage. Longer: fewer chance recurrences; shorter: fewer passages.
@@ -239,27 +239,28 @@ def shared_runs(documents: DataFrame, recorded: DataFrame | None = None, span: i
     # passages that recur, and the first place of each
     each = marks.filter("found is not null").select("doc_id", "n_chars", F.explode("found").alias("f")).select("doc_id", "n_chars", "f.hash", "f.pos")
     recurring = each.groupBy("hash").agg(F.min(F.struct("doc_id", "pos")).alias("own"), F.max("doc_id").alias("other")).filter("own.doc_id <> other")
-    recurring = stored(recurring.select("hash", "own.doc_id", "own.pos"))
-    shards = max(1, -(-recurring.count() // shard_passages))
-    shard_of = lambda doc, pos: F.pmod(F.xxhash64(doc, F.floor(pos / OWN_CHARS)), F.lit(shards))
-    of_hash = recurring.select("hash", F.col("doc_id").alias("own"), F.col("pos").alias("own_pos"), shard_of(F.col("doc_id"), F.col("pos")).alias("shard"))
-    none = F.lit(None).cast("int")
-    visits = each.join(of_hash, "hash").select("doc_id", "n_chars", "shard", F.when((F.col("doc_id") == F.col("own")) & (F.col("pos") == F.col("own_pos")), F.col("pos")).alias("cut"))
-    sentences = None
+    of_hash = recurring.select("hash", F.col("own.doc_id").alias("own"), F.floor(F.col("own.pos") / OWN_CHARS).alias("bucket"), F.col("own.pos").alias("own_pos"))
+    first = (F.col("doc_id") == F.col("own")) & (F.col("pos") == F.col("own_pos"))
+    visits = each.join(of_hash, "hash").groupBy("doc_id", "own", "bucket").agg(F.max("n_chars").alias("n_chars"), F.collect_set(F.when(first, F.col("pos"))).alias("cut"))
     if recorded is not None:
         s = recorded.select(F.col("doc_id").alias("x"), F.col("other_id").alias("y"), F.trim("sentence_a").alias("body"))
-        s = s.filter((F.length("body") >= passage) & F.col("x").isNotNull() & F.col("y").isNotNull()).distinct()
-        sentences = s.select("x", "y", "body", shard_of(F.least("x", "y"), F.lit(0)).alias("shard"))
+        sentences = s.filter((F.length("body") >= passage) & F.col("x").isNotNull() & F.col("y").isNotNull()).withColumn("own", F.least("x", "y")).distinct()
         there = marks.filter("found is not null").select("doc_id", "n_chars")
-        visits = visits.union(sentences.select(F.explode(F.array("x", "y")).alias("doc_id"), "shard").distinct().join(there, "doc_id").select("doc_id", "n_chars", "shard", none))
-    visits = stored(visits.groupBy("doc_id", "shard").agg(F.max("n_chars").alias("n_chars"), F.collect_set("cut").alias("cut")))
+        told = sentences.select(F.explode(F.array("x", "y")).alias("doc_id"), "own").distinct().join(there, "doc_id")
+        visits = visits.union(told.select("doc_id", "own", F.lit(0).cast("long"), "n_chars", F.array().cast("array<int>")))
+    seen = Observation()
+    visits = stored(visits.observe(seen, F.sum("n_chars").alias("chars"), F.sum(F.size("cut")).alias("passages")))
+    # as many shards as make the text that visits each half of what a task takes, on average
+    shards = max(1, -(-(seen.get["passages"] or 0) // shard_passages), -(-2 * (seen.get["chars"] or 0) // shard_chars))
+    shard = F.pmod(F.xxhash64("own", "bucket"), F.lit(shards)).alias("shard")
+    visits = stored(visits.groupBy("doc_id", shard).agg(F.max("n_chars").alias("n_chars"), F.flatten(F.collect_list("cut")).alias("cut")))
     parts = visits.groupBy("shard").agg(F.ceil(F.sum("n_chars") / shard_chars).cast("int").alias("parts"))
     goes = visits.join(parts, "shard").select("doc_id", F.struct("shard", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"), "parts", "cut").alias("g"))
     goes = goes.groupBy("doc_id").agg(F.collect_list("g").alias("goes"))
     kind = "shard long, part int, parts int, doc_id long, body string"
     sent = goes.join(documents, "doc_id").select("doc_id", "text", "goes").mapInArrow(lambda x: _sent(x, passage), kind)
-    if sentences is not None:
-        more = sentences.select("shard", "body").distinct().join(parts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "parts", F.lit(None).cast("long").alias("doc_id"), "body")
+    if recorded is not None:
+        more = sentences.withColumn("bucket", F.lit(0).cast("long")).select(shard, "body").distinct().join(parts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "parts", F.lit(None).cast("long").alias("doc_id"), "body")
         sent = sent.union(more)
 
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), cores(spark))
