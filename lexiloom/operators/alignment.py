@@ -137,12 +137,22 @@ def local(single_checks: DataFrame) -> DataFrame:
 
 
 def report(single_checks: DataFrame) -> DataFrame:
-    """check_id, similarity, pct, alignments, lcs_words, preview (the first 30 words of the subsequence)."""
+    """check_id, similarity, pct, alignments, sequences (all of them, by rank: phrase and score), lcs_words, preview (the first
+    30 words of the subsequence)."""
     s = _similarity()
-    return _aligned(checks(single_checks), "check_id", ("length", "words", "local")).select("check_id", T.rounded(s, 4).alias("similarity"), T.percent(s).alias("pct"), F.size("local").cast("long").alias("alignments"), F.size("words").cast("long").alias("lcs_words"), F.array_join(F.slice("words", 1, 30), " ").alias("preview"))
-
-
-def one_against_many(target: str, references: DataFrame, key: str, text: str) -> DataFrame:
-    """key, similarity of one text with each text of a table, by falling similarity."""
-    rows = references.select(key, F.lit(target).alias("a"), T.text_of(text).alias("b"))
-    return _aligned(rows, key, ("length",)).select(key, T.rounded(_similarity(), 4).alias("similarity")).orderBy(F.desc("similarity"), key)
+    sequences = F.array_join(F.transform("local", lambda x: F.concat(x["phrase"], F.lit(" ("), x["score"].cast("string"), F.lit(")"))), " | ")
+    return _aligned(checks(single_checks), "check_id", ("length", "words", "local")).select(
+        "check_id", T.rounded(s, 4).alias("similarity"), T.percent(s).alias("pct"), F.size("local").cast("long").alias("alignments"), sequences.alias("sequences"),
+        F.size("words").cast("long").alias("lcs_words"), F.array_join(F.slice("words", 1, 30), " ").alias("preview"))
+
+
+def one_against_many(target: DataFrame | str, references: DataFrame, key: str, text: str, most: int = 5) -> DataFrame:
+    """key, similarity, sequences of one text (a string, or the only row of a frame, column text) with each text of a table, by
+    falling similarity: that of the common subsequence, and the `most` best local alignments. No target: no rows."""
+    if isinstance(target, str):
+        rows = references.select(key, F.lit(target).alias("a"), T.text_of(text).alias("b"))
+    else:  # one row by its definition: sent to every task
+        one = target.limit(1).select(T.text_of("text").alias("a"), F.lit(1).alias("one"))
+        rows = references.select(key, T.text_of(text).alias("b"), F.lit(1).alias("one")).join(F.broadcast(one), "one").select(key, "a", "b")
+    sequences = F.array_join(F.transform(F.slice("local", 1, most), lambda x: x["phrase"]), " | ")
+    return _aligned(rows, key, ("length", "local")).select(key, T.rounded(_similarity(), 4).alias("similarity"), sequences.alias("sequences")).orderBy(F.desc("similarity"), key)

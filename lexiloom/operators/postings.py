@@ -33,10 +33,12 @@ def document_frequency(documents: DataFrame) -> DataFrame:
 
 
 def tfidf(documents: DataFrame) -> DataFrame:
-    """doc_id, term, weight = tf (ln((N + 1) / (df + 1)) + 1)."""
-    n = documents.count()
-    rows = term_frequency(documents).join(document_frequency(documents), "term")
-    return rows.select("doc_id", "term", (F.col("tf") * (F.log(F.lit(float(n + 1)) / (F.col("df") + 1)) + 1)).alias("weight"))
+    """doc_id, term, weight = tf (ln((N + 1) / (df + 1)) + 1). The texts are read and cut into tokens once: document frequencies
+    are counted from the term frequencies; N is a scalar inside the plan."""
+    tf = term_frequency(documents)
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    n = documents.agg(F.count("*").alias("n")).scalar()
+    return tf.join(df, "term").select("doc_id", "term", (F.col("tf") * (F.log((n + 1).cast("double") / (F.col("df") + 1)) + 1)).alias("weight"))
 
 
 def tfidf_top(documents: DataFrame, k: int = 10) -> DataFrame:

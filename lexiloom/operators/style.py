@@ -47,8 +47,9 @@ def transition_count(text: Column) -> Column:
     return T.let(F.lower(text), lambda low: _counted(low, lexicon.TRANSITIONS, "(?<![a-zA-Z0-9_])", "(?![a-zA-Z0-9_])"))
 
 
-def signals(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep and all signals, unrounded, from the text in `text`: row-local, without an exchange.
+def signals(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), more: dict[str, Column] | None = None) -> DataFrame:
+    """keep and all signals, unrounded, from the text in `text`: row-local, without an exchange. `more` names further
+    expressions over the columns text and tok (its tokens).
 
     Short texts have the fixed defaults of each signal. Tokens and sentences are made once and reused.
     """
@@ -63,7 +64,7 @@ def signals(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFr
     fog = 0.4 * (nd / ns + 100 * (F.size(F.filter("wl", lambda x: x > 7)) / nd))
     empty = n == 0
     return base.select(
-        *keep, "text", n.cast("long").alias("tokens"), ns.cast("long").alias("sentences"),
+        *keep, *[c.alias(name) for name, c in (more or {"text": F.col("text")}).items()], n.cast("long").alias("tokens"), ns.cast("long").alias("sentences"),
         F.when(ns < 3, 0.5).otherwise(F.least(cv, F.lit(1.5)) / 1.5).alias("burstiness"),
         F.when(empty, 0.0).otherwise(F.size("cnt") / nd).alias("ttr"),
         F.when(empty, 0.0).otherwise(F.size(F.filter("cnt", lambda c: c == 1)) / nd).alias("hapax"),
@@ -130,20 +131,20 @@ def curvature_of(tokens: list[list[str]]) -> np.ndarray:
     return out
 
 
-def with_curvature(rows: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep and curvature of the text in `text`. In Arrow batches: a rolling window over token frequencies would otherwise
-    need every token of the corpus exchanged."""
-    kept = rows.select(*keep, T.tokens_style("text").alias("tok"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema if f.name != "tok") + ", curvature double"
+def with_curvature(rows: DataFrame) -> DataFrame:
+    """The rows with the curvature of the tokens in `tok` in place of these. In Arrow batches: a rolling window over token
+    frequencies would otherwise need every token of the corpus exchanged."""
+    kept = [f for f in rows.schema if f.name != "tok"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", curvature double"
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 c = curvature_of(part.column("tok").to_pylist())
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(c, mask=np.isnan(c))], [*keep, "curvature"])
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.array(c, mask=np.isnan(c))], [*(f.name for f in kept), "curvature"])
 
-    return kept.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def _likelihood(c: Column) -> Column:
@@ -152,7 +153,7 @@ def _likelihood(c: Column) -> Column:
 
 def curvature(documents: DataFrame) -> DataFrame:
     """doc_id, curvature, likelihood of every document; 0 and 0 below 20 tokens."""
-    return with_curvature(documents).select("doc_id", F.coalesce(T.rounded(F.col("curvature"), 2), F.lit(0.0)).alias("curvature"), F.when(F.col("curvature").isNull(), 0.0).otherwise(_likelihood(T.rounded(F.col("curvature"), 9))).alias("likelihood"))
+    return with_curvature(documents.select("doc_id", T.tokens_style("text").alias("tok"))).select("doc_id", F.coalesce(T.rounded(F.col("curvature"), 2), F.lit(0.0)).alias("curvature"), F.when(F.col("curvature").isNull(), 0.0).otherwise(_likelihood(T.rounded(F.col("curvature"), 9))).alias("likelihood"))
 
 
 def style_variance(documents: DataFrame) -> DataFrame:
@@ -175,23 +176,35 @@ def style_variance(documents: DataFrame) -> DataFrame:
     return g.select("doc_id", F.when(enough, T.rounded(score, 3)).otherwise(0.0).alias("variance"), (enough & (T.rounded(score, 9) > 0.45)).alias("multi_author"), F.when(enough, T.rounded(F.col("m_yk"), 1)).otherwise(0.0).alias("yules_k"), F.when(enough, T.rounded(F.col("m_fk"), 1)).alias("grade"))
 
 
-def machine_style(documents: DataFrame) -> DataFrame:
-    """doc_id, score, pct, verdict, certainty: the weighted signals, raised by a sure phrase signature. Texts below 50
-    characters: 0, 0, 'Unknown', 'Low'. One row per doc_id (repeated rows count once)."""
-    one = documents.filter("doc_id is not null").groupBy("doc_id").agg(F.min(T.text_of("text")).alias("text"))
+def scored(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keep, score, pct, verdict, certainty, confidence of the text in `text`: row-local, in one pass. What is passed on from
+    step to step are numbers, not texts."""
     phrases = T.let(F.lower(F.col("text")), lambda low: F.size(F.filter(F.array(*[F.lit(p) for p in lexicon.MARKERS]), lambda p: F.contains(low, p))))
-    rows = signals(one).withColumn("n_phrases", phrases).withColumn("made", _signature(F.col("text"))).withColumn("top", F.array_max("made")).withColumn("sum", T.total(F.col("made")))
-    rows = rows.join(with_curvature(one), "doc_id")
+    rows = with_curvature(signals(documents, keep, {"tok": F.col("tok"), "n_phrases": phrases, "made": _signature(F.col("text")), "long": F.length("text") >= LEAST_CHARS}))
+    rows = rows.withColumn("top", F.array_max("made")).withColumn("sum", T.total(F.col("made")))
     parts = {
         "uniform_length": 1 - F.col("burstiness"), "low_hapax": 1 - F.col("hapax"), "transition": F.col("transition"), "entropy": F.col("entropy"), "phrases": F.least(F.col("n_phrases") / 2, F.lit(1.0)),
         "repetition": F.col("repetition"), "uniform_fog": 1 - F.col("fog"), "zipf": F.col("zipf"), "uniformity": F.col("uniformity"),
         "curvature": F.when(F.col("curvature").isNull(), 0.0).otherwise(_likelihood(T.rounded(F.col("curvature"), 9)))}
     score = F.least(F.greatest(sum(parts[k] * w for k, w in WEIGHTS.items()), F.lit(0.0)), F.lit(1.0))
     sure = F.when((F.col("top") > 0) & (F.col("sum") >= 2), T.rounded(F.col("top") / F.greatest(F.col("sum"), F.lit(1.0)), 3)).otherwise(0.0)
-    final = F.least(score + F.when(sure > 0.4, sure * 0.08).otherwise(0.0), F.lit(1.0))
-    long = F.length("text") >= LEAST_CHARS
-    s = F.col("s")
-    return rows.select("doc_id", "text", T.rounded(final, 9).alias("s")).select(
-        "doc_id", F.when(long, T.rounded(s, 4)).otherwise(0.0).alias("score"), F.when(long, T.percent(s)).otherwise(0).cast("long").alias("pct"),
+    rows = rows.select(*keep, "long", sure.alias("confidence"), score.alias("raw"))
+    final = F.least(F.col("raw") + F.when(F.col("confidence") > 0.4, F.col("confidence") * 0.08).otherwise(0.0), F.lit(1.0))
+    s, long = F.col("s"), F.col("long")
+    return rows.select(*keep, "long", "confidence", T.rounded(final, 9).alias("s")).select(
+        *keep, F.when(long, T.rounded(s, 4)).otherwise(0.0).alias("score"), F.when(long, T.percent(s)).otherwise(0).cast("long").alias("pct"),
         F.when(~long, "Unknown").when(s >= 0.70, "Likely AI-Generated").when(s >= 0.45, "Mixed / Uncertain").when(s >= 0.25, "Likely Human-Written").otherwise("Human-Written").alias("verdict"),
-        F.when(~long, "Low").when((s >= 0.25) & (s < 0.70), "Medium Confidence").otherwise("High Confidence").alias("certainty"))
+        F.when(~long, "Low").when((s >= 0.25) & (s < 0.70), "Medium Confidence").otherwise("High Confidence").alias("certainty"), "confidence")
+
+
+def once(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """One row for each key: of several the smallest by its columns. Null keys have none."""
+    rest = [c for c in rows.columns if c != key]
+    return rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*rest)).alias("r")).select(key, *[F.col(f"r.{c}").alias(c) for c in rest])
+
+
+def machine_style(documents: DataFrame) -> DataFrame:
+    """doc_id, score, pct, verdict, certainty: the weighted signals, raised by a sure phrase signature. Texts below 50
+    characters: 0, 0, 'Unknown', 'Low'. One row per doc_id: repeated rows count once, of different texts the smaller score;
+    only these numbers are exchanged."""
+    return once(scored(documents.select("doc_id", "text")).drop("confidence"))

@@ -381,10 +381,53 @@ def html(x: str) -> str:
     return x
 
 
+# Length of the longest common subsequence of all tokens: one row of the table for each token of a, by recursion; values never
+# fall along a row or column, so that the largest is the result.
+LCS = f"""(with recursive tok as materialized (select check_id, {tokens_all('a')} as ta, {tokens_all('b')} as tb from {CHECKS}),
+    b as materialized (select check_id, unnest(range(1, len(tb) + 1)) as j, unnest(tb) as w from tok),
+    r(check_id, i, j, v) as (select check_id, 0::bigint, j, 0::bigint from b union all
+        select check_id, i + 1, j, max(c) over (partition by check_id order by j) from (
+            select r.check_id, r.i, r.j, greatest(r.v, case when b.w = tok.ta[r.i + 1] then 1 + coalesce(lag(r.v) over (partition by r.check_id order by r.j), 0) else 0 end) as c
+            from r join b on b.check_id = r.check_id and b.j = r.j join tok on tok.check_id = r.check_id where r.i < len(tok.ta)))
+    select check_id, coalesce(m, 0) as lcs, case when len(ta) = 0 or len(tb) = 0 then 0.0::double else least(coalesce(m, 0)::double / greatest(len(ta), len(tb)), 1.0) end as s
+    from tok left join (select check_id, max(v) as m from r group by check_id) using (check_id))"""
+
+
+def alignment_oracles(pair_similarity: str) -> dict[str, str]:
+    cap = lambda x: f"least(100, floor({x} + 0.5)::int)::bigint"
+    return {
+        "lcs_similarity": f"select check_id, lcs, {rnd('s', 4)} as similarity, {pct('s')} as pct from {LCS}",
+        "derived_percentages": f"select check_id, {cap('pct * 1.02::double')} as raised, {cap('cosine * 66::double')} as of_cosine, {cap(rnd('s', 4) + ' * 84::double')} as of_lcs from ({pair_similarity}) join {LCS} using (check_id)",
+    }
+
+
+def single_report_sql(pair_similarity: str, fingerprint_compare: str) -> str:
+    as_documents = f"(select check_id as doc_id, a as t from {CHECKS})"
+    here = lambda sql: sql.replace(D, as_documents)
+    scores = ("cosine", "bigram", "trigram", "fingerprint", "lcs", "combined")
+    value = lambda c: f"case when length(b) > 50 then {c} else 0.0::double end"
+    figures = {"words": "words", "sentences": "sentences", "unique_words": "unique_words", "diversity": "diversity", "minutes": "minutes", "estimated_chars": "floor(words * 5.2::double + 0.5)::bigint"}
+    rows = [f"select check_id, 'Document' as section, '{m}' as metric, ({x})::varchar as value, '' as percentage from w" for m, x in figures.items()]
+    rows += [f"select check_id, 'Similarity', '{c}', ({value(c)})::varchar, {pct(value(c))} || '%' from w" for c in scores]
+    rows += [f"select check_id, 'Style', '{m}', ({x})::varchar, '' from w" for m, x in (("percent", "style_pct"), ("verdict", "verdict"), ("certainty", "certainty"))]
+    return f"""with w as materialized (select c.check_id as check_id, c.b as b, s.*, p.*, y.pct as style_pct, y.verdict as verdict, y.certainty as certainty, f.jaccard as fingerprint, {rnd('l.s', 4)} as lcs
+        from {CHECKS} c join ({here(stats_sql())}) s on s.doc_id = c.check_id join {here(STYLE_ROWS)} y on y.doc_id = c.check_id
+        join (select check_id as p_id, cosine, bigram, trigram, combined from ({pair_similarity})) p on p_id = c.check_id join ({fingerprint_compare}) f on f.check_id = c.check_id join {LCS} l on l.check_id = c.check_id)
+        {' union all '.join(rows)}"""
+
+
+def report_sources_sql(attribution: str, pair_similarity: str) -> str:
+    listed = "(select check_id, u.url as url, min(coalesce(lower(trim(u.type)), 'unknown')) as type from (select check_id, unnest(sources) as u from single_checks) where u.url is not null group by all)"
+    return f"""select check_id, row_number() over (partition by check_id order by pct desc, url nulls first) as rank, url, type, pct, measured from (
+        select k.check_id, k.url, k.type, coalesce(m.pct, 0)::bigint as pct, true as measured from {listed} k left join ({attribution}) m on m.check_id = k.check_id and m.url = k.url
+        union all select check_id, null, 'reference', pct, false from ({pair_similarity}) where check_id in (select check_id from single_checks where length(reference) > 50) and check_id not in (select check_id from {listed}))"""
+
+
 def report_oracles() -> dict[str, str]:
     files = "(select file_id, max(r) as r from (select file_id, {'received_at': received_at, 'name': name, 'ext': ext, 'text': text, 'error': error} as r from parsed_files) group by file_id)"
     size = "coalesce(size, 0)"
-    summary = f"(select d.doc_id, d.name, s.words, s.sentences, y.pct as style_pct, y.verdict, coalesce(m.max_pct, 0) as max_pct from documents d join ({stats_sql()}) s using (doc_id) join {STYLE_ROWS} y using (doc_id) left join {RELATED} m on m.name = d.name)"
+    checked = f"(select doc_id, max({pct(rnd(COMBINED, 9))}) as similar_pct from {PAIR_ROWS} join (select distinct check_id, doc_id from single_checks where length(reference) > 30) using (check_id) group by doc_id)"
+    summary = f"(select d.doc_id, d.name, s.words, s.sentences, y.pct as style_pct, y.verdict, coalesce(c.similar_pct, 0) as similar_pct, coalesce(m.max_pct, 0) as max_pct from documents d join ({stats_sql()}) s using (doc_id) join {STYLE_ROWS} y using (doc_id) left join {checked} c on c.doc_id = d.doc_id left join {RELATED} m on m.name = d.name)"
     src = f"(select check_id, u.url as url, min(regexp_replace(coalesce(u.snippet, ''), '<[^>]*>?', '', 'g')) as t from (select check_id, unnest(sources) as u from (select check_id, min({{'a': coalesce(submission, ''), 's': sources}}).s as sources from single_checks group by check_id)) where u.url is not null group by all)"
     matched = f"(select match_id, min({{'doc_id': doc_id, 's': {trimmed('sentence_a')}, 'sim': coalesce(similarity, 0.0)}}) as m from sentence_matches where sentence_a is not null group by match_id)"
     sent = f"(select doc_id, idx, {PLAIN_SENTENCE.format('unit')} as s from {unnest('doc_id', style('t'), ONE)})"
@@ -400,7 +443,7 @@ def report_oracles() -> dict[str, str]:
         "source_attribution": f"select check_id, url, {pct(rnd('cosine', 9))} as pct from {scores(postings(CHECKS, 'check_id', tokens_content('a')), postings(src, 'check_id, url', tokens_content('t')), ['check_id'], [], ['url'])} where {pct(rnd('cosine', 9))} > 0",
         "inverted_index": f"select doc_id, term, string_agg(p::varchar, ',' order by p) as positions from (select doc_id, unnest(x) as term, unnest(range(0, len(x))) as p from (select doc_id, {tokens_all('t')} as x from {D})) group by all",
         "inverted_round_trip": "select distinct doc_id, true as same from documents",
-        "csv_lines": f"select doc_id, '\"' || doc_id || '\",\"' || words || '\",\"' || sentences || '\",\"' || chars || '\"' as line from ({stats_sql()})",
+        "csv_lines": f"select doc_id, '\"' || replace(coalesce(name, ''), '\"', '\"\"') || '\",\"' || words || '\",\"' || similar_pct || '%\",\"' || style_pct || '%\"' as line from {summary}",
         "html_reports": f"select distinct source_id, '<h1>' || {html('coalesce(url, ' + q('') + ')')} || '</h1><pre>' || {html('coalesce(snippet, ' + q('') + ')')} || '</pre>' as html from source_rows",
         "highlights": f"select doc_id, rank, strpos(t, s) - 1 as start_pos, strpos(t, s) - 1 + length(s) as end_pos, (rank - 1) % 5 as colour from (select m.doc_id as doc_id, m.s as s, row_number() over (partition by m.doc_id order by m.sim desc, match_id) as rank from {matched}) join {ONE} using (doc_id) where rank <= 20 and length(s) > 0 and strpos(t, s) > 0",
         "flagged_sentences": f"select doc_id, count(*) as sentences, count(*) filter (where hit) as flagged from (select s.doc_id, s.idx, length(s.s) > 5 and exists (select 1 from (select distinct doc_id, {PLAIN_SENTENCE.format('sentence_a')} as m from sentence_matches where sentence_a is not null) m where m.doc_id = s.doc_id and length(m.m) > 5 and (contains(s.s, m.m) or contains(m.m, s.s))) as hit from {sent} s) group by doc_id",
@@ -408,11 +451,12 @@ def report_oracles() -> dict[str, str]:
         "pair_report": "select doc_a, doc_b, pct::bigint as pct from (select least(doc_a, doc_b) as doc_a, greatest(doc_a, doc_b) as doc_b, max(pct) as pct from similar_pairs where doc_a <> doc_b and pct is not null group by 1, 2) order by pct desc, doc_a, doc_b limit 20",
         "document_summary": f"select *, case when max_pct >= 60 then 'high' when max_pct >= 30 then 'moderate' else 'low' end as band from {summary}",
         "bulk_counters": f"select count(*) as docs, count(*) filter (where max_pct >= 40) as similar_docs, count(*) filter (where style_pct >= 60) as styled_docs, (select count(*) from (select distinct pair_id, pct from similar_pairs) where pct >= 60) as strong_pairs from {summary}",
-        "single_report": f"""with s as ({stats_sql()}), g as (select doc_id, case when top > 0 and total >= 2 then {rnd('top / greatest(total, 1.0)', 3)} else 0.0 end as confidence from {SIG_ROWS})
-            select doc_id, 'Document' as section, m as metric, v as value from (select doc_id, unnest(['words', 'sentences', 'chars']) as m, unnest([words::varchar, sentences::varchar, chars::varchar]) as v from s) union all select doc_id, 'Similarity', 'confidence', confidence::varchar from g
-            union all select doc_id, 'Style', m, v from (select doc_id, unnest(['pct', 'verdict']) as m, unnest([pct::varchar, verdict]) as v from {STYLE_ROWS})""",
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return base_oracles() | style_oracles() | sketch_oracles() | paraphrase_oracles() | report_oracles()
+    out = base_oracles() | style_oracles() | sketch_oracles() | paraphrase_oracles() | report_oracles()
+    out |= alignment_oracles(out["pair_similarity"])
+    out["single_report"] = single_report_sql(out["pair_similarity"], out["fingerprint_compare"])
+    out["report_sources"] = report_sources_sql(out["source_attribution"], out["pair_similarity"])
+    return out

@@ -52,13 +52,8 @@ def _inverted_round_trip(d: DataFrame) -> DataFrame:
     return d.join(back.withColumnRenamed("text", "back"), "doc_id", "left").select("doc_id", (F.array_join(T.tokens_all(F.col("text")), " ") == F.coalesce("back", F.lit(""))).alias("same"))
 
 
-def _csv_lines(d: DataFrame) -> DataFrame:
-    return reports.text_stats(d).select("doc_id", sinks.csv_row(F.col("doc_id"), F.col("words"), F.col("sentences"), F.col("chars")).alias("line"))
-
-
-def _single_report(d: DataFrame) -> DataFrame:
-    one = d.groupBy("doc_id").agg(F.min(T.text_of("text")).alias("text"))
-    return sinks.single_report(reports.text_stats(one).select("doc_id", "words", "sentences", "chars"), style.signatures(one).select("doc_id", "confidence"), style.machine_style(one).select("doc_id", "pct", "verdict"))
+def _csv_lines(d: DataFrame, p: DataFrame, c: DataFrame) -> DataFrame:
+    return reports.bulk_report(d, p, c).select("doc_id", sinks.csv_row(F.col("document"), F.col("word_count"), F.col("plagiarism"), F.col("ai_content")).alias("line"))
 
 
 def _html(s: DataFrame) -> DataFrame:
@@ -71,9 +66,9 @@ def _derived(c: DataFrame) -> DataFrame:
 
 
 def _one_against_many(d: DataFrame) -> DataFrame:
-    """doc_id, similarity of the document of the smallest id (one row, read first) with every document."""
-    target = d.filter("doc_id is not null").orderBy("doc_id", "text").select("text").first()
-    return alignment.one_against_many((target["text"] if target else None) or "", d, "doc_id", "text")
+    """doc_id, similarity of the document of the smallest id with every document."""
+    target = d.filter("doc_id is not null").agg(F.min(F.struct("doc_id", T.text_of("text").alias("text"))).alias("t")).select(F.col("t.text").alias("text"))
+    return alignment.one_against_many(target, d, "doc_id", "text")
 
 
 #: Tables of texts: read in fewer partitions than there are cores, they are spread over them first.
@@ -143,15 +138,16 @@ PLANS: dict[str, tuple[Callable[..., DataFrame], tuple[str, ...]]] = {
     "source_attribution": (lookup.attribution, ("single_checks",)),
     "inverted_index": (lookup.inverted, ("documents",)),
     "inverted_round_trip": (_inverted_round_trip, ("documents",)),
-    "csv_lines": (_csv_lines, ("documents",)),
-    "single_report": (_single_report, ("documents",)),
+    "csv_lines": (_csv_lines, ("documents", "similar_pairs", "single_checks")),
+    "single_report": (reports.single_report, ("single_checks",)),
+    "report_sources": (reports.report_sources, ("single_checks",)),
     "html_reports": (_html, ("source_rows",)),
     "highlights": (sinks.highlights, ("documents", "sentence_matches")),
     "flagged_sentences": (sinks.flagged, ("documents", "sentence_matches")),
     "max_related": (reports.max_related, ("documents", "similar_pairs")),
     "pair_report": (reports.pair_report, ("similar_pairs",)),
-    "document_summary": (reports.document_summary, ("documents", "similar_pairs")),
-    "bulk_counters": (reports.bulk_counters, ("documents", "similar_pairs")),
+    "document_summary": (reports.document_summary, ("documents", "similar_pairs", "single_checks")),
+    "bulk_counters": (reports.bulk_counters, ("documents", "similar_pairs", "single_checks")),
 }
 
 

@@ -60,7 +60,8 @@ def parse(name: str, content: bytes) -> tuple[str | None, str | None]:
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """name, ext, size, text, error of every file under a path or glob. Files of no bytes have no row (the scan leaves them out)."""
+    """name, ext, size, text, error of every file under a path or glob; files of no bytes, which the scan leaves out, have an
+    error row too."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", "content")
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,7 +71,23 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
                 text, error = parse(name, content)
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([name.rsplit(".", 1)[-1].lower() if "." in name else ""]), batch.column("length").slice(i, 1), pa.array([text], pa.string()), pa.array([error], pa.string())], ["name", "ext", "size", "text", "error"])
 
-    return rows.mapInArrow(run, "name string, ext string, size long, text string, error string")
+    schema = "name string, ext string, size long, text string, error string"
+    return rows.mapInArrow(run, schema).union(_empty_files(spark, path, schema))
+
+
+def _empty_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Error rows of the files of no bytes, from the listing that the scan makes as well."""
+    sc, rows = spark.sparkContext, []
+    pattern = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = pattern.getFileSystem(sc._jsc.hadoopConfiguration())
+    for status in fs.globStatus(pattern) or ():
+        files = fs.listFiles(status.getPath(), True)
+        while files.hasNext():
+            file = files.next()
+            name = file.getPath().getName()
+            if not file.getLen() and name[:1] not in "._":
+                rows.append((name, name.rsplit(".", 1)[-1].lower() if "." in name else "", 0, None, "File is empty"))
+    return spark.createDataFrame(rows, schema)
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:

@@ -255,3 +255,41 @@ def test_related_and_counters(spark):
 @pytest.mark.parametrize("plan", ["term_frequency", "document_frequency", "tfidf_top", "corpus_cosine"])
 def test_postings_of_nothing(spark, plan):
     assert getattr(postings, plan)(docs(spark, [None, "", "!"])).collect() == []
+
+
+def test_rows_that_the_small_tables_lack(spark):
+    """Boilerplate sentences and synonym substitutions, of which the small tables have none."""
+    from lexiloom.functions import lexicon
+    from lexiloom.plans import registry
+
+    phrase = sorted(lexicon.BOILERPLATE)[0]
+    d = spark.createDataFrame([(1, f"The old mill stood by the river. We note that {phrase} is what this page says here. It was sold."), (2, None)], "doc_id long, text string")
+    assert [(r["doc_id"], r["idx"]) for r in registry._boilerplate(d).collect()] == [(1, 1)]
+    name, words = next((k, v) for k, v in lexicon.synonym_groups().items() if len(v) >= 2 and " " not in v[0] and " " not in v[1] and lexicon.canonical_words()[v[0]] == lexicon.canonical_words()[v[1]] == k)
+    c = checks(spark, [(f"the {words[0]} stood", f"the {words[1]} stood"), (None, "x"), (words[0], words[0])])
+    got = [(r["check_id"], r["original"], r["synonym"], r["canonical"]) for r in paraphrase.substitutions(c).collect()]
+    assert got == [(got[0][0], words[0], words[1], name)]
+
+
+def test_report_of_a_check(spark):
+    """Six scores, and none for a short reference; sources with the reference text where none is listed."""
+    text = "the old mill stood by the river and nobody knew why it was sold"
+    rows = [(1, 7, text, text, [("u1", None, "the old mill stood by the river")]), (2, 7, text, "short", None), (3, None, None, None, [])]
+    c = spark.createDataFrame(rows, "check_id long, doc_id long, submission string, reference string, sources array<struct<url:string,type:string,snippet:string>>")
+    got = {(r["check_id"], r["metric"]): (r["value"], r["percentage"]) for r in reports.single_report(c).collect()}
+    assert len(got) == 3 * 15 and got[1, "lcs"] == ("1.0", "100%") and got[2, "lcs"] == ("0.0", "0%") and got[1, "words"] == ("14", "") and got[1, "estimated_chars"] == ("73", "")
+    src = {(r["check_id"], r["url"], r["type"], r["measured"]) for r in reports.report_sources(c).collect()}
+    assert src == {(1, "u1", "unknown", True)}
+    bare = c.select("check_id", "doc_id", "submission", "reference", F.lit(None).cast(c.schema["sources"].dataType).alias("sources"))
+    combined = reports.single_report(bare).filter("check_id = 1 and metric = 'combined'").first()["percentage"]
+    assert [(r["check_id"], r["url"], f"{r['pct']}%", r["measured"]) for r in reports.report_sources(bare).collect()] == [(1, None, combined, False)]
+    d = spark.createDataFrame([(7, "n7", text), (7, "n7", text), (8, None, None)], "doc_id long, name string, text string")
+    p = spark.createDataFrame([], "pair_id long, doc_a string, doc_b string, pct int")
+    assert {(r["doc_id"], r["similar_pct"], r["words"]) for r in reports.document_summary(d, p, c).collect()} == {(7, int(combined[:-1]), 14), (8, 0, 0)}
+
+
+def test_one_pass_over_texts(spark, tmp_path):
+    """No text is exchanged for the style scores and the summary."""
+    docs(spark, ["The old mill stood. Nobody knew why."]).write.parquet(str(tmp_path / "d"))
+    plan = style.machine_style(spark.read.parquet(str(tmp_path / "d")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "text" not in "".join(x for x in plan.splitlines() if "Exchange" in x or "HashAggregate" in x)
