@@ -82,7 +82,7 @@ def oracle_sql():
     """Brute force in SQL, where that ends in time on the small data."""
     shingles = f"(select distinct doc_id, substr(f, i, 12) as g from (select doc_id, f, unnest(range(1, length(f) - 10)) as i from {_FORM} where length(f) >= 200))"
     windows = "(select doc_id, i, hash(substr(text, i, 200)) as h from (select doc_id, text, unnest(range(1, length(text) - 198)) as i from documents where length(text) >= 200))"
-    return {
+    out = {
         "p3_found": f"""with s as materialized (select * from {shingles}), n as (select doc_id, count(*) as n from s group by doc_id), ab as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all)
             select a as doc_a, b as doc_b from ab join n x on x.doc_id = a join n y on y.doc_id = b where c >= 0.5 * (x.n + y.n - c)""",
         "p4_found": f"""with w as materialized (select * from {windows}), hit as (select doc_id, i from w where h in (select h from w group by h having count(distinct doc_id) > 1)),
@@ -93,3 +93,10 @@ def oracle_sql():
         "p6_found": """with recursive e as (select distinct doc_a as u, doc_b as v from similar_pairs where pct >= 60 and doc_a <> doc_b union select doc_b, doc_a from similar_pairs where pct >= 60 and doc_a <> doc_b),
             r(name, other) as (select u, u from e union select r.name, e.v from r join e on r.other = e.u) select name as doc_name, min(other) as group_name from r group by name""",
     }
+    out["p3_groups"] = f"""with recursive f as (select * from {_FORM} where length(f) >= 200), c as materialized (select doc_id, min(doc_id) over (partition by f) as class_id from f),
+            pr as materialized ({out["p3_found"]}), e as materialized (select distinct a.class_id as u, b.class_id as v from (select doc_a as x, doc_b as y from pr union all select doc_b, doc_a from pr) join c a on a.doc_id = x join c b on b.doc_id = y where a.class_id <> b.class_id),
+            r(u, v) as (select u, u from e union select r.u, e.v from r join e on r.v = e.u)
+            select doc_id, class_id, coalesce(g, class_id) as group_id, coalesce(n, 0) as links from c left join (select u, min(v) as g from r group by u) x on x.u = class_id left join (select u, count(*) as n from e group by u) y on y.u = class_id"""
+    out["p4_share"] = f"""select doc_id, n_chars, coalesce(s, 0)::bigint as shared_chars, case when n_chars > 0 then coalesce(s, 0)::double / n_chars else 0.0 end as shared_share, coalesce(n, 0) as runs
+            from (select doc_id, coalesce(length(text), 0)::bigint as n_chars from documents) left join (select doc_id, sum(end_pos - start_pos) as s, count(*) as n from ({out["p4_found"]}) group by doc_id) using (doc_id)"""
+    return out
