@@ -23,7 +23,7 @@ def test_read_files(spark, tmp_path):
         (tmp_path / name).write_bytes(content)
     rows = {r["name"]: r for r in files.read_files(spark, str(tmp_path)).collect()}
     assert len(rows) == 8 and rows["f.zip"]["error"] == "File is empty" and rows["f.zip"]["size"] == 0 and rows["a.txt"]["text"] == "plain" and rows["b.MD"]["text"] == "é" and rows["c.docx"]["text"] == "One\n\nTwo"
-    assert all((rows[n]["text"] is None) != (rows[n]["error"] is None) for n in rows) and "f.zip" not in rows and rows["g.docx"]["error"] and rows["d.doc"]["error"]
+    assert all((rows[n]["text"] is None) != (rows[n]["error"] is None) for n in rows) and rows["g.docx"]["error"] and rows["d.doc"]["error"]
     texts = {r["name"]: r["text"] for r in files.read_texts(spark, str(tmp_path / "*.txt")).collect()}
     assert texts == {"a.txt": "plain"}
 
