@@ -36,7 +36,7 @@ def _ids(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.array([ids.setdefault(t, len(ids)) for t in x], dtype=np.int64) for x in (a, b))  # type: ignore[return-value]
 
 
-def lcs_words(a: list[str], b: list[str], most: int = SEQUENCE_TOKENS) -> list[str]:
+def lcs_words(a: list[str], b: list[str], most: int | None = SEQUENCE_TOKENS) -> list[str]:
     """The subsequence that backtracking finds: a step up only where the cell above is larger, else to the left."""
     a, b = a[:most], b[:most]
     if not a or not b:
@@ -58,7 +58,7 @@ def lcs_words(a: list[str], b: list[str], most: int = SEQUENCE_TOKENS) -> list[s
     return out[::-1]
 
 
-def local_alignments(a: list[str], b: list[str], most: int = LOCAL_TOKENS) -> list[dict]:
+def local_alignments(a: list[str], b: list[str], most: int | None = LOCAL_TOKENS) -> list[dict]:
     """Up to ten local alignments by falling score that start where no earlier one has passed."""
     a, b = a[:most], b[:most]
     if not a or not b:
@@ -99,9 +99,14 @@ def local_alignments(a: list[str], b: list[str], most: int = LOCAL_TOKENS) -> li
 _LOCAL = pa.list_(pa.struct([("phrase", pa.string()), ("length", pa.int64()), ("pos_a", pa.int64()), ("pos_b", pa.int64()), ("score", pa.int64())]))
 
 
-def _aligned(pairs: DataFrame, key: str, parts: tuple[str, ...]) -> DataFrame:
-    """key, na, nb and the named parts (length, words, local) of the token lists of a and b."""
-    kinds = {"length": (pa.int64(), "bigint", lcs_length), "words": (pa.list_(pa.string()), "array<string>", lcs_words), "local": (_LOCAL, "array<struct<phrase:string,length:bigint,pos_a:bigint,pos_b:bigint,score:bigint>>", local_alignments)}
+def _aligned(pairs: DataFrame, key: str, parts: tuple[str, ...], words: int | None = SEQUENCE_TOKENS, local: int | None = LOCAL_TOKENS) -> DataFrame:
+    """key, na, nb and the named parts (length, words, local) of the token lists of a and b; of the latter two, of so many
+    tokens (None: all)."""
+    kinds = {
+        "length": (pa.int64(), "bigint", lcs_length),
+        "words": (pa.list_(pa.string()), "array<string>", lambda a, b: lcs_words(a, b, words)),
+        "local": (_LOCAL, "array<struct<phrase:string,length:bigint,pos_a:bigint,pos_b:bigint,score:bigint>>", lambda a, b: local_alignments(a, b, local)),
+    }
     rows = pairs.select(key, T.tokens_all("a").alias("ta"), T.tokens_all("b").alias("tb"))
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,14 +131,14 @@ def similarity(single_checks: DataFrame) -> DataFrame:
     return _aligned(checks(single_checks), "check_id", ("length",)).select("check_id", F.col("length").alias("lcs"), T.rounded(s, 4).alias("similarity"), T.percent(s).alias("pct"))
 
 
-def words(single_checks: DataFrame) -> DataFrame:
-    """check_id, n, words: the common subsequence of the first 500 tokens."""
-    return _aligned(checks(single_checks), "check_id", ("words",)).select("check_id", F.size("words").cast("long").alias("n"), F.array_join("words", " ").alias("words"))
+def words(single_checks: DataFrame, most: int | None = SEQUENCE_TOKENS) -> DataFrame:
+    """check_id, n, words: the common subsequence of the first `most` tokens (None: of all)."""
+    return _aligned(checks(single_checks), "check_id", ("words",), words=most).select("check_id", F.size("words").cast("long").alias("n"), F.array_join("words", " ").alias("words"))
 
 
-def local(single_checks: DataFrame) -> DataFrame:
-    """check_id, rank, phrase, length, pos_a, pos_b, score of the local alignments of the first 300 tokens."""
-    return _aligned(checks(single_checks), "check_id", ("local",)).select("check_id", F.posexplode("local").alias("rank", "l")).select("check_id", (F.col("rank") + 1).cast("long").alias("rank"), "l.*")
+def local(single_checks: DataFrame, most: int | None = LOCAL_TOKENS) -> DataFrame:
+    """check_id, rank, phrase, length, pos_a, pos_b, score of the local alignments of the first `most` tokens (None: of all)."""
+    return _aligned(checks(single_checks), "check_id", ("local",), local=most).select("check_id", F.posexplode("local").alias("rank", "l")).select("check_id", (F.col("rank") + 1).cast("long").alias("rank"), "l.*")
 
 
 def report(single_checks: DataFrame) -> DataFrame:

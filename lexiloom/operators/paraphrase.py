@@ -10,6 +10,10 @@ from lexiloom.functions import text as T
 from lexiloom.operators.pairs import checks
 
 
+#: Rows up to which the table of synonym pairs is broadcast.
+SMALL_TABLE = 100_000
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of the distinct elements; 0 if both are empty."""
     return T.let(F.array_distinct(a), lambda x: T.let(F.array_distinct(b), lambda y: T.ratio(F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y)))))
@@ -54,7 +58,8 @@ def substitutions(single_checks: DataFrame, groups=lexicon.SYNONYMS, limit: int
     table = spark.createDataFrame(sorted(names), "original string, canonical string, place int, synonym string")
     pairs = checks(single_checks).select("check_id", T.tokens_letters("a").alias("ta"), F.array_distinct(T.tokens_letters("b")).alias("tb"))
     each = pairs.select("check_id", "tb", F.posexplode("ta").alias("pos", "original")).groupBy("check_id", "original").agg(F.min("pos").alias("pos"), F.first("tb").alias("tb"))
-    hits = each.join(F.broadcast(table), "original")  # a parameter table of a few hundred rows
+    # a parameter table, sent to every task as long as it is small
+    hits = each.join(F.broadcast(table) if len(names) <= SMALL_TABLE else table, "original")
     hits = hits.filter((F.col("original") != F.col("synonym")) & F.forall(F.split("synonym", " "), lambda w: F.array_contains(F.col("tb"), w)))
     ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("check_id").orderBy("pos", "place")))
     return ranked.filter(F.col("rank") <= limit).select("check_id", F.col("rank").cast("long").alias("rank"), "original", "synonym", "canonical")
