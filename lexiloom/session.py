@@ -53,6 +53,9 @@ def apart(spark: SparkSession, **conf: object) -> SparkSession:
     """A session of the same application with settings of its own, for eager steps: the caller's settings stay as they are.
     Names are those of spark.sql, with _ for the points."""
     own = spark.newSession()
+    for name, value in spark.conf.getAll.items():  # what was set on the caller's session since it began
+        if name.startswith("spark.sql.") and spark.conf.isModifiable(name):
+            own.conf.set(name, value)
     for name, value in conf.items():
         own.conf.set("spark.sql." + name.replace("_", "."), value)
     return own
