@@ -5,11 +5,13 @@ Records with one normal form are one class (its id is a 64-bit hash of the norma
 1. One pass over the texts makes, per record, the class, BANDS keys of ROWS min-hash values each, and a sketch of one byte
    per hash. The min-hashes come from a fast similarity sketch (Dahlgaard, Knudsen, Thorup 2017): a string is hashed once a
    round into one of K bins, and further rounds only fill bins that are still empty.
-2. Classes that share a key are candidates. Keys are exchanged once; a task reads them in sorted order, a run of equal keys
-   at a time. Runs of up to HOT_BUCKET classes give their pairs; longer runs are cut into blocks, and block pairs become
-   tasks of bounded size that prune before anything is emitted.
+2. Classes that share a key are candidates. Keys are exchanged with the first HEAD bytes of the sketch, GROUP bands at a time
+   (a group's shuffle files are deleted before the next one); a task reads them in sorted order, a run of equal keys at a
+   time. Runs of up to HOT_BUCKET classes are compared at once; longer runs are cut into blocks, and block pairs become
+   tasks of bounded size.
 3. A candidate's sketches are compared a batch of hashes at a time. It is dropped as soon as the posterior probability that
-   its similarity reaches the threshold (uniform prior) is below MISS.
+   its similarity reaches the threshold (uniform prior) is below MISS. The first batches are compared where the candidate is
+   found, before anything is emitted: candidates grow with the square of the records, what is left of them hardly does.
 4. Survivors are verified exactly on their texts.
 
 No link between different texts is lost but by the bands (1 - (1 - s^ROWS)^BANDS at similarity s) and MISS.
@@ -18,6 +20,7 @@ No link between different texts is lost but by the bands (1 - (1 - s^ROWS)^BANDS
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm.codes import batches, joined, mix, normal_form, rolling, rows_of
-from lexiloom.session import cores, spread, stored
+from lexiloom.session import apart, cores, drop, moved, spread, stored
 
 #: Characters of a string of the normal form whose set makes the similarity.
 SHINGLE = 12
@@ -36,8 +39,12 @@ ROWS, BANDS = 3, 64
 BINS = ROWS * BANDS
 #: Hashes compared by the Bayesian test, in batches; posterior probability below which a candidate is dropped.
 SKETCH, BATCH, MISS = 96, 16, 1e-3
-#: Classes of one key whose pairs are made at once; beyond, blocks of HOT_BLOCK classes.
-HOT_BUCKET, HOT_BLOCK = 500, 2048
+#: Bytes of a sketch that go with each key (whole batches), and bands whose keys are exchanged at a time.
+HEAD, GROUP = 64, 8
+#: Classes of one key that are compared at once; beyond, blocks of HOT_BLOCK classes.
+HOT_BUCKET, HOT_BLOCK = 4096, 4096
+#: Runs of up to so many classes are compared many at a time, in steps of so many pairs.
+SHORT_RUN, STEP_PAIRS = 32, 1_000_000
 #: Rounds of the fast sketch before the rest is filled directly (records of few distinct strings).
 ROUNDS = 10
 #: Classes a task remembers, to make the keys of copies only once.
@@ -109,6 +116,40 @@ def survivors(a: np.ndarray, b: np.ndarray, limits: list[int], batch: int = BATC
     return left
 
 
+def alike(a: np.ndarray, b: np.ndarray | None, limits: list[int], batch: int = BATCH) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of the pairs of rows of a and of b, or (i < j) of rows of a if b is None, that no batch drops."""
+    same = b is None
+    b = a if same else b
+    x, y = (np.ascontiguousarray(s[:, :batch].T) for s in (a, b))
+    found: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64),) * 2]
+    step = max(1, STEP_PAIRS // max(1, len(b)))
+    for lo in range(0, len(a), step):
+        left = lo + 1 if same else 0
+        got = np.zeros((min(step, len(a) - lo), len(b) - left), dtype=np.uint8)
+        for one, other in zip(x, y):  # a byte at a time: a row against all others is one operation
+            got += one[lo : lo + step, None] == other[None, left:]
+        i, j = np.nonzero(got >= limits[0])
+        i, j = i + lo, j + left
+        if same:
+            i, j = i[i < j], j[i < j]
+        stay = survivors(a[i], b[j], limits, batch)
+        found.append((i[stay], j[stay]))
+    i, j = zip(*found)
+    return np.concatenate(i), np.concatenate(j)
+
+
+def alike_each(sketches: np.ndarray, limits: list[int], batch: int = BATCH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(run, i, j), i < j, of the pairs inside each of many short runs (runs x classes x bytes) that no batch drops."""
+    i, j = np.triu_indices(sketches.shape[1], 1)
+    got = np.zeros((len(i), len(sketches)), dtype=np.uint8)
+    for column in np.ascontiguousarray(sketches[:, :, :batch].transpose(2, 1, 0)):
+        got += column[i] == column[j]
+    pair, run = np.nonzero(got >= limits[0])
+    i, j = i[pair], j[pair]
+    stay = survivors(sketches[run, i], sketches[run, j], limits, batch)
+    return run[stay], i[stay], j[stay]
+
+
 def _bytes(column: pa.Array, width: int) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, width)
@@ -153,69 +194,79 @@ def profiles(documents: DataFrame, shingle: int = SHINGLE, min_chars: int = MIN_
     return spread(documents.filter(F.length("text") >= least // 3).select("doc_id", "text")).mapInArrow(run, "doc_id long, cls long, keys array<long>, sketch binary")
 
 
-def _runs(stream: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, cls) sorted by both: the pairs of each key, or, of keys with more than `hot` classes, the classes."""
+def _runs(stream: Iterator[pa.RecordBatch], hot: int, limits: list[int]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, cls, head of the sketch) sorted by both: the pairs of each key whose heads no batch drops, or, of keys with
+    more than `hot` classes, the classes."""
 
     def out(a: np.ndarray, b: np.ndarray | None, key: np.ndarray | None) -> pa.RecordBatch:
         empty = pa.nulls(len(a), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(a), empty if b is None else pa.array(b), empty if key is None else pa.array(key)], ["a", "b", "key"])
 
-    key, cls = np.empty(0, np.int64), np.empty(0, np.int64)
+    key, cls, head = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, HEAD), np.uint8)
     long_key = None  # a run over the limit whose classes are passed on as they come
 
-    def work(key: np.ndarray, cls: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def work(key: np.ndarray, cls: np.ndarray, head: np.ndarray) -> Iterator[pa.RecordBatch]:
         fresh = np.append(True, (key[1:] != key[:-1]) | (cls[1:] != cls[:-1]))
-        key, cls = key[fresh], cls[fresh]
-        heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        sizes = np.diff(np.append(heads, len(key)))
+        key, cls, head = key[fresh], cls[fresh], head[fresh]
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        sizes = np.diff(np.append(starts, len(key)))
         for size in np.unique(sizes):
             if size == 1:
                 continue
-            at = heads[sizes == size]
+            at = starts[sizes == size]
             if size > hot:
                 for h in at:
                     yield out(cls[h : h + size], None, key[h : h + size])
-                continue
-            i, j = np.triu_indices(int(size), 1)
-            for few in np.array_split(at, max(1, len(at) * len(i) // 200_000)):
-                block = cls[few[:, None] + np.arange(size)]
-                yield out(block[:, i].ravel(), block[:, j].ravel(), None)
+            elif size > SHORT_RUN:
+                for h in at:
+                    i, j = alike(head[h : h + size], None, limits)
+                    yield out(cls[h + i], cls[h + j], None)
+            else:
+                for few in np.array_split(at, 1 + len(at) * int(size) ** 2 // (2 * STEP_PAIRS)):
+                    run, i, j = alike_each(head[few[:, None] + np.arange(size)], limits)
+                    yield out(cls[few[run] + i], cls[few[run] + j], None)
 
     for batch in stream:
-        k, c = batch.column("key").to_numpy(), batch.column("cls").to_numpy()
+        k, c, s = batch.column("key").to_numpy(), batch.column("cls").to_numpy(), _bytes(batch.column("head"), HEAD)
         if long_key is not None and len(k):
             n = int(np.searchsorted(k != long_key, True))
             if n:
                 yield out(c[:n], None, k[:n])
-            k, c = k[n:], c[n:]
+            k, c, s = k[n:], c[n:], s[n:]
             if len(k):
                 long_key = None
-        key, cls = np.concatenate([key, k]), np.concatenate([cls, c])
+        key, cls, head = np.concatenate([key, k]), np.concatenate([cls, c]), np.concatenate([head, s])
         if not len(key):
             continue
         last = int(np.flatnonzero(np.append(True, key[1:] != key[:-1]))[-1])
         if last:
-            yield from work(key[:last], cls[:last])
-            key, cls = key[last:], cls[last:]
+            yield from work(key[:last], cls[:last], head[:last])
+            key, cls, head = key[last:], cls[last:], head[last:]
         if len(np.unique(cls)) > hot:
             yield out(cls, None, key)
-            long_key, key, cls = int(key[0]), key[:0], cls[:0]
+            long_key, key, cls, head = int(key[0]), key[:0], cls[:0], head[:0]
     if len(key):
-        yield from work(key, cls)
+        yield from work(key, cls, head)
 
 
 def class_links(documents: DataFrame, shingle: int = SHINGLE, min_chars: int = MIN_CHARS, threshold: float = THRESHOLD, hot: int = HOT_BUCKET, block: int = HOT_BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(a, b, similarity: the linked classes, a < b; doc_id, cls: the class of each record)."""
+    """(a, b, similarity: the linked classes, a < b; doc_id, cls: the class of each record). Both are stored."""
     spark = documents.sparkSession
     documents = documents.select("doc_id", "text").filter("doc_id is not null")
-    made = stored(profiles(documents, shingle, min_chars))
-    members = made.select("doc_id", "cls")
+    # shuffle files are deleted as soon as a step's table is stored, not whenever the driver collects its garbage
+    quiet = apart(spark, classic_shuffleDependency_fileCleanup_enabled=True)
+    made = moved(stored(profiles(documents, shingle, min_chars)), quiet)
     n_tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), cores(spark))
-    keyed = made.filter("keys is not null").select("cls", F.explode("keys").alias("key")).select("key", "cls")
-    found = stored(keyed.repartition(n_tasks, "key").sortWithinPartitions("key", "cls").mapInArrow(lambda s: _runs(s, hot), "a long, b long, key long"))
-    classes = made.filter("sketch is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "sketch")).alias("s")).select("cls", F.col("s.doc_id").alias("doc"), F.col("s.sketch").alias("sketch"))
     limits = least_matches(threshold)
 
+    def runs(first: int) -> DataFrame:
+        keyed = made.filter("keys is not null").select(F.explode(F.slice("keys", first + 1, GROUP)).alias("key"), "cls", F.substring("sketch", 1, HEAD).alias("head"))
+        return stored(keyed.repartition(n_tasks, "key").sortWithinPartitions("key", "cls").mapInArrow(lambda s: _runs(s, hot, limits[: HEAD // BATCH]), "a long, b long, key long"))
+
+    groups = [runs(first) for first in range(0, BANDS, GROUP)]
+    found = reduce(DataFrame.union, groups)
+    classes = made.filter("sketch is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "sketch")).alias("s")).select("cls", F.col("s.doc_id").alias("doc"), F.col("s.sketch").alias("sketch"))
+
     def side(df: DataFrame, x: str) -> DataFrame:
         return df.join(classes.select(F.col("cls").alias(x), F.col("doc").alias(f"doc_{x}"), F.col("sketch").alias(f"sketch_{x}")), x)
 
@@ -246,14 +297,8 @@ def class_links(documents: DataFrame, shingle: int = SHINGLE, min_chars: int = M
         left = t.column("left").to_numpy(zero_copy_only=False) if isinstance(t.column("left"), pa.Array) else np.array(t.column("left").to_pylist())
         same = bool(t.column("both")[0].as_py())
         rows, cols = (np.arange(len(cls)),) * 2 if same else (np.flatnonzero(left), np.flatnonzero(~left))
-        a, b = [], []
-        for i in rows:
-            others = cols[cols > i] if same else cols
-            if len(others):
-                stay = others[survivors(np.broadcast_to(sk[i], (len(others), SKETCH)), sk[others], limits)]
-                a.append(np.full(len(stay), i))
-                b.append(stay)
-        a, b = (np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64) for x in (a, b))
+        a, b = alike(sk[rows], None if same else sk[cols], limits)
+        a, b = rows[a], cols[b]
         swap = cls[a] > cls[b]
         a, b = np.where(swap, b, a), np.where(swap, a, b)
         return pa.table([pa.array(x) for x in (cls[a], cls[b], doc[a], doc[b])], names=["a", "b", "doc_a", "doc_b"])
@@ -278,7 +323,10 @@ def class_links(documents: DataFrame, shingle: int = SHINGLE, min_chars: int = M
 
     with_a = kept.join(texts.withColumnRenamed("d", "doc_a").withColumnRenamed("text", "text_a"), "doc_a").select("a", "b", "doc_b", "text_a")
     with_b = with_a.join(texts.withColumnRenamed("d", "doc_b").withColumnRenamed("text", "text_b"), "doc_b").select("a", "b", "text_a", "text_b")
-    return with_b.mapInArrow(verify, "a long, b long, similarity double").distinct(), members
+    linked = stored(with_b.mapInArrow(verify, "a long, b long, similarity double").distinct())
+    members = stored(made.select("doc_id", "cls"))
+    drop(made, *groups)
+    return moved(linked, spark), moved(members, spark)
 
 
 def near_pairs(documents: DataFrame, **options) -> DataFrame:
@@ -303,7 +351,6 @@ def near_groups(documents: DataFrame, **options) -> DataFrame:
 
     linked, members = class_links(documents, **options)
     members = stored(members.distinct())
-    linked = stored(linked)
     ids = members.groupBy("cls").agg(F.min("doc_id").alias("class_id"))
     edges = linked.join(ids.select(F.col("cls").alias("a"), F.col("class_id").alias("x")), "a").join(ids.select(F.col("cls").alias("b"), F.col("class_id").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a < b").distinct()
     edges = stored(edges)
