@@ -2,7 +2,8 @@
 
 Blank lines always end a unit. Other candidate boundaries are classified by two maximum-entropy models (logistic regression
 over indicator features), trained on the boundaries of a bounded sample that need no judgement. How words stand to marks and to
-ends and beginnings of paragraphs is counted over all documents.
+ends and beginnings of paragraphs is counted over all documents: every task has the counts of the most frequent words, those of
+all others are joined to the texts that have them before or after a mark.
 
 - marks: an end mark, with its closing marks, and what follows. Surely a boundary before a blank line; surely none before a
   word in lower case (unless such a word also begins paragraphs), a digit or a comma. Features: the tokens on both sides,
@@ -18,13 +19,14 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Iterable, Iterator
+from functools import lru_cache, reduce
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm.sampling import sample_texts
@@ -37,7 +39,8 @@ SAMPLE_DOCS, SAMPLE_CHARS = 4000, 20_000
 RARE_END, EXPECTED_ENDS = 0.05, 4
 #: A word that begins paragraphs in at most this share of its occurrences doesn't begin any by rule.
 RARE_START = 0.001
-#: Words counted over all documents that are kept, of each side of a mark: the most frequent ones, of at most so many characters.
+#: Words of each side of a mark whose counts every task has (the most frequent ones; those of the rest come with the texts), and
+#: characters from which a word is counted by a digest.
 KEPT_WORDS, WORD_CHARS = 100_000, 40
 #: Different words a task counts before it passes them on.
 FLUSH_WORDS = 300_000
@@ -157,11 +160,16 @@ def _key(word: str) -> str:
     return "<initial>" if len(word) == 1 and word.isupper() else word.lower()
 
 
+def _short(word: str) -> str:
+    """What a word is counted as: itself, or a digest of a long one (no word begins with #)."""
+    return word if len(word) <= WORD_CHARS else "#" + blake2b(word.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
 class Counts:
     """How words stand to marks and to ends and beginnings of paragraphs.
 
     By _key: marked (before an end mark), ends (of these, at the end of a paragraph), plain (elsewhere). By the word as it
-    stands: starts (of paragraphs), seen, after (an end mark).
+    stands: starts (of paragraphs), seen, after (an end mark). Long ones by _short once they are summed up.
     """
 
     def __init__(self) -> None:
@@ -191,37 +199,58 @@ class Counts:
                 self.seen[word] += n
 
     def rows(self) -> Iterator[tuple[int, str, int, int, int]]:
-        """(0, key, marked, ends, all) and (1, word, starts, seen, after), of words of at most WORD_CHARS characters."""
+        """(0, key, marked, ends, all) and (1, word, starts, seen, after) of every word."""
         everywhere: Counter = Counter()
         for word, n in self.seen.items():
             everywhere[word.lower()] += n
-        yield from ((0, k, self.marked[k], self.ends[k], everywhere[k]) for k in self.marked.keys() | everywhere.keys() if len(k) <= WORD_CHARS)
-        yield from ((1, w, self.starts[w], self.seen[w], self.after[w]) for w in self.seen.keys() | self.starts.keys() | self.after.keys() if len(w) <= WORD_CHARS)
+        yield from ((0, _short(k), self.marked[k], self.ends[k], everywhere[k]) for k in self.marked.keys() | everywhere.keys())
+        yield from ((1, _short(w), self.starts[w], self.seen[w], self.after[w]) for w in self.seen.keys() | self.starts.keys() | self.after.keys())
 
     @classmethod
-    def of(cls, rows: Iterator[tuple[int, str, int, int, int]]) -> Counts:
+    def of(cls, rows: Iterable[tuple[int, str, int, int, int]], end_rate: float | None = None) -> Counts:
+        """The sums of all words, or of some of them with the end rate of all."""
         counts = cls()
+        counts.take(rows)
+        counts.end_rate = sum(counts.ends.values()) / max(1, sum(counts.marked.values())) if end_rate is None else end_rate
+        return counts
+
+    def take(self, rows: Iterable[tuple[int, str, int, int, int]]) -> None:
         for side, word, x, y, z in rows:
             if side:
-                counts.starts[word], counts.seen[word], counts.after[word] = x, y, z
+                self.starts[word], self.seen[word], self.after[word] = x, y, z
             else:
-                counts.marked[word], counts.ends[word], counts.plain[word] = x, y, max(0, z - x)
-        counts.end_rate = sum(counts.ends.values()) / max(1, sum(counts.marked.values()))
-        return counts
+                self.marked[word], self.ends[word], self.plain[word] = x, y, max(0, z - x)
+
+    def forget(self, rows: Iterable[tuple[int, str, int, int, int]]) -> None:
+        """Without words that were taken."""
+        for side, word, *_ in rows:
+            for counter in (self.starts, self.seen, self.after) if side else (self.marked, self.ends, self.plain):
+                del counter[word]
+
+    def lacking(self, pairs: Iterable[tuple[str, str]]) -> set[tuple[int, str]]:
+        """(0, key) and (1, word) that aren't there, of words before and after marks."""
+        return {x for left, right in pairs for x in ((0, _short(_key(left))), (1, _short(right))) if x[1] not in (self.starts if x[0] else self.marked)}
 
     def begins(self, word: str) -> bool:
         """Whether the word begins paragraphs more than by chance."""
+        word = _short(word)
         return self.starts[word] > RARE_START * self.seen[word]
 
     def abbreviation(self, key: str) -> bool:
         """Whether a word with a point is surely an abbreviation; of the known ones a single occurrence is enough."""
+        key = _short(key)
         n, expected = self.marked[key], self.end_rate * self.marked[key]
         return n > 0 and (key in ABBREVIATIONS or expected >= EXPECTED_ENDS) and self.ends[key] <= RARE_END * expected and self.plain[key] < n
 
 
 def count_words(documents: DataFrame) -> Counts:
-    """The counts of all documents' words, cut to the KEPT_WORDS most frequent ones that stand before marks, and as many that stand
-    after them or begin paragraphs."""
+    """The counts of the KEPT_WORDS most frequent words of all documents that stand before marks, and of as many that stand after
+    them or begin paragraphs."""
+    return _all_words(documents)[0]
+
+
+def _all_words(documents: DataFrame) -> tuple[Counts, DataFrame | None]:
+    """(counts of the most frequent words; side, word, x, y, z of all others, if there are any, stored)."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> Iterator[pa.RecordBatch]:
@@ -241,16 +270,22 @@ def count_words(documents: DataFrame) -> Counts:
 
     counted = spread(documents.filter("text is not null").select("text")).mapInArrow(run, "side int, word string, x long, y long, z long")
     counted = stored(counted.groupBy("side", "word").agg(*[F.sum(c).alias(c) for c in "xyz"]).filter("x > 0 or side = 1 and z > 0"))
+    sums = {r["side"]: r for r in counted.groupBy("side").agg(F.count("*").alias("n"), F.sum("x").alias("x"), F.sum("y").alias("y")).collect()}
     rows: list[tuple] = []
+    others = []
     for side, weight in ((0, "x"), (1, "y")):
         kept = counted.filter(F.col("side") == side).orderBy(F.desc(weight), "word").limit(KEPT_WORDS).toArrow()
         rows += zip(*(kept.column(c).to_pylist() for c in kept.column_names))
-    return Counts.of(rows)
+        if side in sums and sums[side]["n"] > kept.num_rows:
+            least, last = rows[-1][3 if side else 2], rows[-1][1]
+            others.append((F.col("side") == side) & ((F.col(weight) < least) | (F.col(weight) == least) & (F.col("word") > last)))
+    rate = sums[0]["y"] / max(1, sums[0]["x"]) if 0 in sums else 0.0
+    return Counts.of(rows, rate), counted.filter(reduce(Column.__or__, others)) if others else None
 
 
 def _mark_features(left: str, shape: str, right: str, right_shape: str, cluster: str, opener: str, counts: Counts, own_end: int, own_start: int, before: str) -> list[str]:
-    key, nxt = _key(left), right
-    # without this very place; words that aren't kept have no counts
+    key, nxt = _short(_key(left)), _short(right)
+    # without this very place
     n, e, plain = max(counts.marked[key] - 1, 0), max(counts.ends[key] - own_end, 0), counts.plain[key]
     s, seen = max(counts.starts[nxt] - own_start, 0), max(counts.seen[nxt] - 1, 0)
     size = len(left)
@@ -504,6 +539,22 @@ class Splitter:
         return out
 
 
+def _around(text: str) -> Iterator[tuple[str, str]]:
+    """The words before and after each mark of a text, as units() sees them."""
+    for a, b in _paragraphs(text):
+        yield from ((c[4], c[5]) for c in mark_candidates(text[a:b], lead=False))
+
+
+def _trained_on(text: str) -> Iterator[tuple[str, str]]:
+    """The words before and after each mark of a text, as train() sees them."""
+    parts = _parts(text)
+    for part, after in zip(parts, [*parts[1:], ""]):
+        yield from ((c[4], c[5]) for c in mark_candidates(part, lead=False))
+        last = _last_mark(part) if after else None
+        if last:
+            yield _word_before(part, last.start()), (WORD.match(after.lstrip(OPEN)) or [""])[0]
+
+
 def train(texts: list[str], counts: Counts | None = None) -> Splitter:
     """The models of a sample of texts, with the counts of the whole (by default those of the sample)."""
     if counts is None:
@@ -584,20 +635,60 @@ def sentence_units(documents: DataFrame, sample: DataFrame | None = None) -> Dat
     Texts that are null, empty or blank have no unit. The models are trained on a part of `sample` (by default `documents`), their words counted over all of it. Repeated
     rows give repeated units; other columns are ignored.
     """
-    documents = documents.select("doc_id", "text")
+    documents = documents.select("doc_id", "text").filter("text is not null")
     whole = sample if sample is not None else documents
-    shared = documents.sparkSession.sparkContext.broadcast(train(sample_texts(whole, SAMPLE_DOCS, 40, SAMPLE_CHARS), count_words(whole)))
+    texts = sample_texts(whole, SAMPLE_DOCS, 40, SAMPLE_CHARS)
+    counts, others = _all_words(whole)
+    spark = documents.sparkSession
+    if others is None:
+        split, documents = train(texts, counts), spread(documents)
+    else:
+        asked = sorted(counts.lacking(x for text in texts for x in _trained_on(text)))
+        asked = others.join(spark.createDataFrame(asked, "side int, word string"), ["side", "word"]).select(*others.columns).toArrow()
+        asked = list(zip(*(asked.column(c).to_pylist() for c in others.columns)))
+        counts.take(asked)
+        split = train(texts, counts)
+        counts.forget(asked)
+        documents = _with_words(documents, counts, others)
+    shared = spark.sparkContext.broadcast(split)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = shared.value
         for batch in stream:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                rows = [(k, i, a, b) for k, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()) for i, (a, b) in enumerate(split.units(t or ""))]
+                words = part.column("words").to_pylist() if "words" in part.schema.names else [None] * part.num_rows
+                rows = []
+                for k, t, own in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), words):
+                    own = [tuple(w.values()) for w in own or ()]
+                    split.counts.take(own)
+                    rows += [(k, i, a, b) for i, (a, b) in enumerate(split.units(t))]
+                    split.counts.forget(own)
                 columns = list(zip(*rows)) if rows else ([],) * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], ["doc_id", "unit", "start_pos", "end_pos"])
 
-    return spread(documents.filter("text is not null")).mapInArrow(run, "doc_id long, unit int, start_pos long, end_pos long")
+    return documents.mapInArrow(run, "doc_id long, unit int, start_pos long, end_pos long")
+
+
+def _with_words(documents: DataFrame, counts: Counts, others: DataFrame) -> DataFrame:
+    """doc_id, text, words: the rows of `others` for the words before and after the text's marks that `counts` lacks; null if none.
+
+    Texts are told apart by a hash; where two have the same one, each gets the words of both.
+    """
+    known = documents.sparkSession.sparkContext.broadcast(counts)
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                rows = [(k, *x) for k, t in zip(part.column("text_hash").to_pylist(), part.column("text").to_pylist()) for x in known.value.lacking(_around(t))]
+                columns = list(zip(*rows)) if rows else ([],) * 3
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.string()))], ["text_hash", "side", "word"])
+
+    text_hash = F.xxhash64("text").alias("text_hash")
+    asked = spread(documents.select(text_hash, "text")).mapInArrow(run, "text_hash long, side int, word string")
+    words = asked.join(others, ["side", "word"]).groupBy("text_hash").agg(F.collect_set(F.struct(*others.columns)).alias("words"))
+    return documents.select("doc_id", "text", text_hash).join(words, "text_hash", "left").select("doc_id", "text", "words")
 
 
 def scoped_units(documents: DataFrame, scope: DataFrame) -> DataFrame:

@@ -33,3 +33,23 @@ def test_the_same_rules_at_any_size():
     # one stray end of a paragraph in thousands doesn't make it a word again
     large.ends["dr"] += 1
     assert large.abbreviation("dr")
+
+
+def test_words_beyond_the_most_frequent_ones_count(spark, monkeypatch):
+    """The units are the same however few words every task has; the counts of the others come with the texts."""
+    texts = [document(i) for i in range(120)] + [SHORT] * 200 + [None, "", "One line"]
+    df = spark.createDataFrame([(i if i % 7 else None, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    units = lambda: sorted(tuple(-1 if x is None else x for x in r) for r in sentences.sentence_units(df).collect())
+    want, counts = units(), sentences.count_words(df)
+    monkeypatch.setattr(sentences, "KEPT_WORDS", 3)
+    few = sentences.count_words(df)
+    assert len(few.marked) == len(few.starts) == 3 and few.end_rate == counts.end_rate
+    assert units() == want
+
+
+def test_long_words_count(spark):
+    word = "abcdefghi" * 6
+    df = spark.createDataFrame([(i, f"It was {word}. It rose.\n\n{word.title()} rose. It was {word}.\n\nIt was.") for i in range(9)], "doc_id long, text string")
+    counts = sentences.count_words(df)
+    assert [counts.marked[sentences._short(word)], counts.ends[sentences._short(word)], counts.starts[sentences._short(word.title())]] == [18, 9, 9]
+    assert counts.begins(word.title()) and max(map(len, counts.marked)) <= 40
