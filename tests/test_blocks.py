@@ -4,7 +4,10 @@ import math
 import random
 from collections import Counter
 
-from lexiloom.operators import blocks, postings
+import duckdb
+
+from lexiloom.operators import blocks, pairs, postings
+from lexiloom.plans import oracles
 
 WORDS = ["loom", "mill", "river", "clerk", "stone", "apple", "ledger", "bridge", "winter", "harbour"]
 
@@ -38,3 +41,23 @@ def test_corpus_cosine_over_blocks(spark, monkeypatch):
             best = min(sims, key=lambda o: (-sims[o], o))
             want[q] = (len(sims), best, sims[best])
     assert {r["doc_id"]: (r["links"], r["best_id"], r["best_sim"]) for r in got.collect()} == want and 140 not in want
+
+
+def by_sql(name, rows):
+    db = duckdb.connect()
+    db.sql("create table documents (doc_id bigint, text varchar)")
+    db.executemany("insert into documents values (?, ?)", rows)
+    return sorted(db.sql(oracles.oracle_sql()[name]).fetchall(), key=str)
+
+
+def test_cross_document_links_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "LEAST", 20)
+    rng = random.Random(4)
+    texts = {i: " ".join(rng.choice(["the", "of", "it", *WORDS, *(f"word{k}" for k in range(40))][: rng.randint(4, 53)]) for _ in range(rng.randint(0, 60))) for i in range(0, 130)}
+    for i in range(0, 130, 9):  # copied in part
+        texts[i] = " ".join(texts[i].split()[:20] + texts[(i * 7 + 20) % 120].split()[5:])
+    texts |= {131: texts[40], 140: "nowhere else", 160: "", 180: None, 200: "of the it of", 201: "of the it of"}
+    rows = [*texts.items(), (40, texts[40]), (7, texts[7]), (7, texts[7]), (None, texts[40])]
+    got = pairs.cross_document_links(docs(spark, rows))
+    assert plan(got).count("Join") == 1  # of the queries with what was found
+    assert sorted(map(tuple, got.collect()), key=str) == by_sql("cross_document_links", rows)
