@@ -5,8 +5,10 @@ import random
 from collections import Counter
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 
-from lexiloom.operators import blocks, pairs, postings
+from lexiloom.operators import blocks, pairs, postings, sketch
 from lexiloom.plans import oracles
 
 WORDS = ["loom", "mill", "river", "clerk", "stone", "apple", "ledger", "bridge", "winter", "harbour"]
@@ -61,3 +63,28 @@ def test_cross_document_links_over_blocks(spark, monkeypatch):
     got = pairs.cross_document_links(docs(spark, rows))
     assert plan(got).count("Join") == 1  # of the queries with what was found
     assert sorted(map(tuple, got.collect()), key=str) == by_sql("cross_document_links", rows)
+
+
+def test_minhash_matrix_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "LEAST", 20)
+    rng = random.Random(5)
+    texts = {i: " ".join(rng.choice(WORDS[: rng.randint(2, 10)]) for _ in range(rng.randint(0, 40))) for i in range(0, 130)}
+    texts |= {131: texts[40], 133: texts[40], 60: texts[20], 19: texts[20], 140: "nowhere else at all", 160: "", 180: None, 200: "one", 211: ""}
+    rows = [*texts.items(), (40, texts[40])]
+    got = sketch.minhash_matrix(docs(spark, rows))
+    assert "Join" not in plan(got)
+    assert sorted(map(tuple, got.collect()), key=str) == by_sql("minhash_matrix", rows)
+
+
+def test_minhashes_of_many_texts():
+    """The remainders by halves are those of fmod in double arithmetic."""
+    rng = random.Random(6)
+    texts = [[f"w{rng.randint(0, 10**6)} {'x' * rng.randint(0, 9)}{k}" for k in range(n)] for n in [0, 3, 0, 700, 1, 511, 512, 513, 0, *(rng.randint(0, 90) for _ in range(40)), 0]]
+    a, b = sketch.permutations()
+    flat = [g for t in texts for g in t]
+    x = sketch.mixed32_of(pa.array(flat, pa.string()))
+    assert (x == sketch.mixed32(flat)).all() and (sketch.mixed32_of(pa.array(flat).slice(5, 9)) == x[5:14]).all()
+    got = sketch.minhashes(x, np.append(0, np.cumsum([len(t) for t in texts])))
+    for t, row in zip(texts, got):
+        h = sketch.mixed32(t).astype(np.float64)
+        assert (row == (np.fmod(a[:, None] * h + b[:, None], sketch.PRIME).min(axis=1) if t else 0)).all()
